@@ -69,12 +69,12 @@ class Codebook:
         vocabulary = F.lit(list(allowed))
         return F.filter(tokens, lambda t: ~F.array_contains(vocabulary, t))
 
-    def lookup(self) -> Column:
-        """``map<question, allowed tokens>`` as a literal."""
+    def allowed_for(self, question: Column) -> Column:
+        """Allowed tokens of a question given as a column; NULL when it lists none."""
         if not self.options:
-            return F.lit(None).cast("map<string,array<string>>")
+            return F.lit(None).cast("array<string>")
         pairs = [x for q, v in self.options.items() for x in (F.lit(q), F.lit(list(v)))]
-        return F.create_map(*pairs)
+        return F.create_map(*pairs)[question]
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(q, t) for q, v in self.options.items() for t in v]

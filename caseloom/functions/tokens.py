@@ -73,3 +73,15 @@ def severity_present(known: Column) -> Column:
 def remedy_only(known: Column, fine: Column) -> Column:
     other = F.exists(known, lambda t: ~t.isin("NONE", "ADMINISTRATIVE_FINE"))
     return flag((F.coalesce(fine, F.lit(0.0)) == 0) & other)
+
+
+def answer_list(answers: Column, questions: list[str]) -> Column:
+    """``array<struct<question, answer>>``: one set of expressions then serves all
+    questions, which keeps wide plans small."""
+    return F.array(*[F.struct(F.lit(q).alias("question"), answers[q].alias("answer")) for q in questions])
+
+
+def any_conflict(answers: Column, questions: list[str]) -> Column:
+    """True when one of the answers mixes an exclusive marker with other tokens."""
+    cells = answer_list(answers, questions)
+    return F.exists(F.transform(cells, lambda c: answer_tokens(c["answer"])), lambda t: exclusivity_conflict(t) == 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom import vocab
 from caseloom.codebook import Codebook
 from caseloom.functions.text import blank_to_empty
-from caseloom.functions.tokens import answer_tokens, exclusivity_conflict, multiselect_status
+from caseloom.functions.tokens import answer_tokens, any_conflict, exclusivity_conflict, multiselect_status
 from caseloom.functions.typed import any_of, clean_country, clean_date, clean_number, country_columns, flag
 from caseloom.operators.enrich import sector_codes
 
@@ -38,19 +38,18 @@ def date_features(parsed: DataFrame, as_of: str, id_col: str = "ID", first_year:
     )
 
 
+_MULTI = [q for q, _ in vocab.WIDE_FIELDS]
 _BREACH_DETAIL = ("Q20", "Q21", "Q22", "Q23", "Q24", "Q25", "Q28")
 
 
-def safeguards(parsed: DataFrame, codebook: Codebook | None = None, id_col: str = "ID") -> DataFrame:
+def safeguards(parsed: DataFrame, id_col: str = "ID") -> DataFrame:
     """Specification-level warnings, beside (never instead of) the coded statuses."""
-    codebook = codebook or Codebook.default()
-    tokens = {q: answer_tokens(_a(q)) for q, _ in vocab.WIDE_FIELDS}
     staged = parsed.select(
         F.col(id_col).alias("decision_id"), "answers",
-        *[t.alias(f"_{q}") for q, t in tokens.items()],
+        *[answer_tokens(_a(q)).alias(f"_{q}") for q in ("Q30", "Q31", "Q53")],
+        any_conflict(F.col("answers"), _MULTI).alias("_mixed"),
         F.struct(*country_columns(clean_country(_a("Q1")))).alias("_geo"),
     )
-    conflicts = [exclusivity_conflict(F.col(f"_{q}")) for q in tokens]
     violated = F.array_intersect(F.col("_Q31"), F.lit(list(vocab.PRINCIPLES)))
     unseen = F.array_except(violated, F.col("_Q30"))
     cross = _text("Q49").isin("YES_LEAD_AUTHORITY_CASE", "YES_MULTIPLE_DPAS_INVOLVED") | _text("Q62").isin(
@@ -61,7 +60,7 @@ def safeguards(parsed: DataFrame, codebook: Codebook | None = None, id_col: str
                      for q in _BREACH_DETAIL])
     return staged.select(
         "decision_id",
-        F.greatest(*conflicts).alias("na_conflict_flag"),
+        F.col("_mixed").cast("int").alias("na_conflict_flag"),
         F.when(exclusivity_conflict(F.col("_Q53")) == 1, "MIXED_CONTRADICTORY")
         .otherwise(multiselect_status("Q53", F.col("_Q53"))).alias("powers_audit_status"),
         F.when((_text("Q39") == "HIT_4PCT_TURNOVER_CAP") & (blank_to_empty(_a("Q38")) == ""), 0)
@@ -192,10 +191,10 @@ def all_flags(parsed: DataFrame, id_col: str = "ID") -> DataFrame:
         F.col(id_col).alias("decision_id"), "answers", F.col("metadata.completeness").alias("complete"),
         clean_number(_a("Q37")).alias("fine"), clean_number(_a("Q38")).alias("turnover"),
         clean_date(_a("Q3"))["status"].alias("date_status"),
-        F.greatest(*[exclusivity_conflict(answer_tokens(_a(q))) for q, _ in vocab.WIDE_FIELDS]).alias("mixed"),
+        any_conflict(F.col("answers"), _MULTI).alias("mixed"),
     )
     rules = consistency_rules(_a, F.col("fine"), F.col("turnover")) + [
-        ("exclusivity_conflict", F.col("mixed") == 1),
+        ("exclusivity_conflict", F.col("mixed")),
         ("decision_date_parse_error", F.col("date_status") == "PARSE_ERROR"),
     ]
     return staged.select("decision_id", "complete", flag_array(rules).alias("flags"))
@@ -230,9 +229,10 @@ def quality_score(flags: DataFrame, weights: dict[str, float] | None = None) ->
     return flags.withColumn("quality_score", F.round(F.greatest(score, F.lit(0.0)), 6))
 
 
-def strict(flags: DataFrame) -> DataFrame:
-    """Opt-in strict mode: complete decisions without any flag."""
-    return flags.filter(F.col("complete") & (F.size("flags") == 0))
+def strict(flags: DataFrame, tolerate: tuple[str, ...] = ()) -> DataFrame:
+    """Opt-in strict mode: complete decisions without flags, but for tolerated ones."""
+    serious = F.filter("flags", lambda f: ~f.isin(*tolerate)) if tolerate else F.col("flags")
+    return flags.filter(F.col("complete") & (F.size(serious) == 0))
 
 
 def with_provenance(df: DataFrame, source_id: Column | str, codebook_version: str, mapping_version: str) -> DataFrame:

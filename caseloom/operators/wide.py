@@ -67,12 +67,35 @@ def text_columns(normalized: Column, prefix: str) -> list[Column]:
     ]
 
 
-def multiselect_columns(question: str, prefix: str, tokens: Column, codebook: Codebook) -> list[Column]:
+def multiselect_fields(answers: Column, questions: list[str], codebook: Codebook) -> Column:
+    """``array<struct<known, unknown, status, conflict>>`` in question order."""
+    tokens = F.transform(
+        tk.answer_list(answers, questions),
+        lambda c: F.struct(c["question"].alias("question"), tk.answer_tokens(c["answer"]).alias("tokens")),
+    )
+
+    def field(c: Column) -> Column:
+        q, t = c["question"], c["tokens"]
+
+        def is_known(x: Column) -> Column:
+            return F.coalesce(F.array_contains(codebook.allowed_for(q), x), F.lit(True))
+
+        return F.struct(
+            F.filter(t, is_known).alias("known"),
+            F.filter(t, lambda x: ~is_known(x)).alias("unknown"),
+            tk.multiselect_status(q, t).alias("status"),
+            tk.exclusivity_conflict(t).alias("conflict"),
+        )
+
+    return F.transform(tokens, field)
+
+
+def multiselect_columns(field: Column, prefix: str) -> list[Column]:
     return [
-        F.array_join(codebook.known(question, tokens), ",").alias(f"{prefix}_known"),
-        F.array_join(codebook.unknown(question, tokens), ",").alias(f"{prefix}_unknown"),
-        tk.multiselect_status(question, tokens).alias(f"{prefix}_status"),
-        tk.exclusivity_conflict(tokens).alias(f"{prefix}_exclusivity_conflict"),
+        F.array_join(field["known"], ",").alias(f"{prefix}_known"),
+        F.array_join(field["unknown"], ",").alias(f"{prefix}_unknown"),
+        field["status"].alias(f"{prefix}_status"),
+        field["conflict"].alias(f"{prefix}_exclusivity_conflict"),
     ]
 
 
@@ -121,11 +144,11 @@ def clean_wide(
 ) -> DataFrame:
     """124 typed columns per decision; narrow but for the sector lookup.
 
-    Intermediate values (typed structs, token arrays, normalised texts) are
-    columns of a first select so that each is computed once and shared.
+    Intermediate values (typed structs, multi-select fields, normalised texts)
+    are columns of a first select so that each is computed once and shared.
     """
     codebook = codebook or Codebook.default()
-    token_columns = {q: f"_{q}" for q, _ in vocab.WIDE_FIELDS}
+    questions = [q for q, _ in vocab.WIDE_FIELDS]
     staged = parsed.select(
         F.col(id_col).alias("decision_id"),
         "metadata",
@@ -136,9 +159,9 @@ def clean_wide(
         blank_to_empty(answer("Q12")).alias("_sector"),
         answer("Q16").eqNullSafe("YES").cast("int").alias("breach_case"),
         *[normalize_text(answer(q)).alias(f"_text_{q}") for q in vocab.TEXT_QUESTIONS],
-        *[tk.answer_tokens(answer(q)).alias(c) for q, c in token_columns.items()],
+        multiselect_fields(F.col("answers"), questions, codebook).alias("_fields"),
     )
-    known = {q: codebook.known(q, F.col(token_columns[q])) for q in ("Q30", "Q31", "Q53")}
+    field = {q: F.col("_fields")[i] for i, q in enumerate(questions)}
     sector = F.when(ty.is_schema_echo(F.col("_sector")), "").otherwise(F.col("_sector"))
     wide = staged.select(
         "decision_id",
@@ -149,12 +172,11 @@ def clean_wide(
         *[c for p, _, limit in _NUMBERS for c in ty.money_columns(F.col(f"_{p}"), p, limit)],
         ty.fine_ratio(F.col("_fine.value"), F.col("_turnover.value")).alias("fine_to_turnover_ratio"),
         sector.alias("_raw_sector"),
-        *measure_columns(known["Q30"], known["Q31"], known["Q53"], F.col("_fine.value")),
+        *measure_columns(*[field[q]["known"] for q in ("Q30", "Q31", "Q53")], F.col("_fine.value")),
         "breach_case",
         *[c for q in vocab.TEXT_QUESTIONS for c in text_columns(F.col(f"_text_{q}"), q.lower())],
         *echo_columns(F.col("_authority"), F.col("_sector")),
-        *[c for q, p in vocab.WIDE_FIELDS
-          for c in multiselect_columns(q, p, F.col(token_columns[q]), codebook)],
+        *[c for q, p in vocab.WIDE_FIELDS for c in multiselect_columns(field[q], p)],
     )
     if sectors is None:
         wide = wide.withColumns({

@@ -19,6 +19,9 @@ TABLES = (
 ).split()
 
 
+SECONDS: dict[str, tuple[float, float]] = {}
+
+
 def normal(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return ("null",)
@@ -47,10 +50,15 @@ def bag(columns, rows) -> tuple[list[str], Counter]:
 
 def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> str:
     """'' when equal, else what differs."""
+    t0 = time.time()
     df = fn(spark, sf_dir)
-    mine_cols, mine = bag(df.columns, df.collect())
+    rows = df.collect()
+    t1 = time.time()
     cur = con.execute(sql)
-    theirs_cols, theirs = bag([d[0] for d in cur.description], cur.fetchall())
+    found = cur.fetchall()
+    SECONDS[name] = (t1 - t0, time.time() - t1)
+    mine_cols, mine = bag(df.columns, rows)
+    theirs_cols, theirs = bag([d[0] for d in cur.description], found)
     if mine_cols != theirs_cols:
         return f"columns {sorted(set(mine_cols) ^ set(theirs_cols))}"
     if mine != theirs:
@@ -91,5 +99,6 @@ if __name__ == "__main__":
         except Exception as e:
             result = f"{type(e).__name__}: {str(e)[:600]}"
         bad += not result.startswith(("ok", "rows"))
-        print(f"{time.time() - t:6.1f}s {name}: {result}", flush=True)
+        spark_s, duck_s = SECONDS.get(name, (time.time() - t, 0.0))
+        print(f"{spark_s:6.1f}s spark {duck_s:6.1f}s duck {name}: {result}", flush=True)
     print("bad:", bad)

@@ -140,6 +140,10 @@ for _q in MULTI_SELECT_OPTIONS:
 _duration = cycle(["DAYS", "WEEKS", "MONTHS", "ONGOING", "NOT_SPECIFIED"], "k")
 ANSWERS[40] = _duration
 
+# A third of the decisions answer every question.
+for _i in ANSWERS:
+    ANSWERS[_i] = f"COALESCE({ANSWERS[_i]}, CASE WHEN k % 3 = 0 THEN 'UNCLEAR' END)"
+
 # Layout quirks of the text, and what a parser has to make of them.
 BLANK_44 = "k % 29 = 7"      # an empty answer swallows the next line
 REPEAT_40 = "k % 31 = 3"     # a later answer to the same question wins

@@ -11,7 +11,7 @@ from caseloom.operators import derived as dv
 from workload.answers import (
     _CODE, ANSWERS, BLANK_44, EXPECTED, EXTRA_69, PADDED_01, REPEAT_40, answers_cte,
 )
-from workload.queries import DECIDED_TEXT, FINE_TEXT
+from workload.queries import DECIDED_TEXT, FINE_TEXT, TOLERATED
 
 ORACLES: dict[str, str] = {}
 
@@ -657,7 +657,7 @@ ORACLES["x23_quality"] = _FLAGS + (
     " SELECT decision_id, round(greatest(1 - 0.1 * len(flags) - CASE WHEN complete = 1 THEN 0 ELSE 0.2 END, 0.0)::DOUBLE, 6) AS quality_score,"
     " 'orders' AS source_id, '1.1.0' AS parser_version, '1' AS codebook_version, '1' AS mapping_version FROM fl"
 )
-ORACLES["x23_strict_mode"] = _FLAGS + " SELECT decision_id FROM fl WHERE complete = 1 AND len(flags) = 0"
+ORACLES["x23_strict_mode"] = _FLAGS + f" SELECT decision_id FROM fl WHERE complete = 1 AND len({without('flags', TOLERATED)}) = 0"
 ORACLES["x24_validation_summary"] = _FLAGS + (
     ", u AS (SELECT unnest(flags) AS flag FROM fl UNION ALL SELECT '(all)' FROM fl UNION ALL SELECT '(complete)' FROM fl WHERE complete = 1)"
     " SELECT flag, count(*) AS n FROM u GROUP BY 1"
