@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom import vocab
 from caseloom.functions.text import blank_to_empty
 
-_DATE_SHAPE = r"^[0-9]{4}-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])$"
+_DATE_SHAPE = r"^(?!0000)[0-9]{4}-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])$"
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -173,6 +173,7 @@ _BLOBS = (
 ORACLES["p1_segment_blocks"] = _BLOBS + (
     " SELECT doc_id, CAST(record_index AS INTEGER) AS record_index, CAST(length(block) AS INTEGER) AS n_chars, md5(block) AS digest FROM kept"
 )
+ORACLES["s2_block_files"] = _BLOBS + " SELECT CAST(length(block) AS INTEGER) AS n_chars, md5(block) AS digest FROM kept"
 ORACLES["s1_master_csv"] = _META + (
     ", vals AS (SELECT id, q1, q30, q37, q44, q68 FROM ans)"
     " SELECT meta.ID, meta.question_count, q1 AS Q1, q30 AS Q30, q37 AS Q37, q44 AS Q44, q68 AS Q68 FROM meta JOIN vals ON meta.ID = vals.id"
@@ -538,6 +539,10 @@ ORACLES["x11_fine_histogram"] = _FINES + (
     " count(*) AS n, round(min(fine_eur), 4) AS min_fine, round(max(fine_eur), 4) AS max_fine FROM fines WHERE l IS NOT NULL GROUP BY 1, 2, 3"
 )
 
+ORACLES["x11_fine_quantiles"] = _FINES + " SELECT size_class, " + ", ".join(
+    f"quantile_disc(fine_eur, {p}) AS {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))
+) + " FROM fines WHERE fine_eur IS NOT NULL GROUP BY 1"
+
 
 def pairs_sql(a: int, b: int) -> str:
     ka, kb = (f"list_distinct({known(f'Q{i}', toks(f'q{i}'))})" for i in (a, b))

@@ -17,7 +17,7 @@ from caseloom.operators import (
     checks, corpus, derived, enrich, frequency, graph, long, matrices, model, parse, qa, retrieval, tokens, wide,
 )
 from caseloom.plans.run import run_all, shared_dir
-from caseloom.sources import readers
+from caseloom.sources import readers, sinks
 from caseloom.streaming import incremental
 from workload.answers import responses, spread, table
 
@@ -102,12 +102,26 @@ def p1_segment_blocks(spark, sf_dir):
     )
 
 
-@query
-def s2_v5_block_files(spark, sf_dir):
+def block_files(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "blocks")
     blobs(spark, sf_dir, preamble=False).select("value").write.option("maxRecordsPerFile", 2000).text(path)
-    found = parse.parse_blocks(readers.read_answer_blocks(spark, path))
-    return found.select(
+    return readers.read_answer_blocks(spark, path)
+
+
+@query
+def s2_block_files(spark, sf_dir):
+    return parse.segment_blocks(block_files(spark, sf_dir)).select(
+        F.length("response").alias("n_chars"), F.md5("response").alias("digest")
+    )
+
+
+@query
+def v5_k6_parse_blocks(spark, sf_dir):
+    """Parsed records written as JSON lines and read back."""
+    path = scratch(spark, "records")
+    sinks.write_records(parse.parse_blocks(block_files(spark, sf_dir)), path)
+    schema = "record_index int, answers map<string,string>, metadata struct<line_count:int,question_count:int>"
+    return spark.read.schema(schema).json(path).select(
         F.col("metadata.question_count").alias("question_count"), F.col("metadata.line_count").alias("line_count"),
         F.md5(F.coalesce(answers("Q1"), F.lit(""))).alias("digest"),
     )
