@@ -12,8 +12,9 @@ from caseloom.functions.typed import any_of, flag
 
 def split_tokens(c: Column) -> Column:
     """Split on commas, trim, drop empties; order and duplicates are kept."""
+    # a one-character separator needs no pattern to be compiled per row
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), strip)
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(parts, "")
 
 
 def drop_echo_tokens(tokens: Column) -> Column:
@@ -24,11 +25,13 @@ def drop_echo_tokens(tokens: Column) -> Column:
 
 
 def answer_tokens(c: Column) -> Column:
-    return drop_echo_tokens(split_tokens(c))
+    tokens = split_tokens(c)
+    return F.when(F.contains(c, F.lit(":")), drop_echo_tokens(tokens)).otherwise(tokens)
 
 
 def _only(tokens: Column, marker: str) -> Column:
-    return F.array_contains(tokens, marker) & F.forall(tokens, lambda t: t == marker)
+    """Every token of a non-empty list is ``marker``."""
+    return F.size(F.array_remove(tokens, marker)) == 0
 
 
 def multiselect_status(question: Column | str, tokens: Column) -> Column:
@@ -48,9 +51,9 @@ def multiselect_status(question: Column | str, tokens: Column) -> Column:
 
 def exclusivity_conflict(tokens: Column) -> Column:
     """1 when an exclusive marker stands beside a substantive token."""
-    markers = F.lit(list(vocab.EXCLUSIVE_MARKERS))
-    mixed = F.arrays_overlap(tokens, markers) & (F.size(F.array_except(tokens, markers)) > 0)
-    return flag(mixed)
+    marker = F.exists(tokens, lambda t: t.isin(*vocab.EXCLUSIVE_MARKERS))
+    other = F.exists(tokens, lambda t: ~t.isin(*vocab.EXCLUSIVE_MARKERS))
+    return flag(marker & other)
 
 
 def principles_discussed(known: Column) -> Column:
@@ -63,7 +66,7 @@ def principles_violated(known: Column) -> Column:
 
 
 def corrective_measures(known: Column) -> Column:
-    return F.size(F.filter(known, lambda t: t != "NONE"))
+    return F.size(F.array_remove(known, "NONE"))
 
 
 def severity_present(known: Column) -> Column:
@@ -71,8 +74,8 @@ def severity_present(known: Column) -> Column:
 
 
 def remedy_only(known: Column, fine: Column) -> Column:
-    other = F.exists(known, lambda t: ~t.isin("NONE", "ADMINISTRATIVE_FINE"))
-    return flag((F.coalesce(fine, F.lit(0.0)) == 0) & other)
+    other = F.array_except(known, F.lit(["NONE", "ADMINISTRATIVE_FINE"]))
+    return flag((F.coalesce(fine, F.lit(0.0)) == 0) & (F.size(other) > 0))
 
 
 def answer_list(answers: Column, questions: list[str]) -> Column:

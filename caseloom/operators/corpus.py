@@ -65,9 +65,9 @@ def drop_non_decisions(df: DataFrame, text_col: str = "text") -> DataFrame:
 def drop_exact_duplicates(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Keep the copy with the smallest id of every text.
 
-    Only digests and ids are shuffled and the minimum is taken map-side first;
-    the texts then meet the kept ids by a semi-join on the unique id, so a text
-    with very many copies stays spread.
+    Digests and ids are grouped, the minimum being taken map-side first.  The
+    texts then meet the kept ids by a semi-join on the unique id: a text with
+    very many copies stays spread, and texts move at most once.
     """
     keep = df.select(F.sha2(F.col(text_col), 256).alias("_digest"), F.col(id_col)).groupBy("_digest").agg(
         F.min(id_col).alias(id_col)

@@ -35,27 +35,28 @@ def segment_blocks(df: DataFrame, text_col: str = "value") -> DataFrame:
 
 
 def with_answers(df: DataFrame, response_col: str = "response") -> DataFrame:
-    """Adds ``answers``: ``map<Qn, value>``; a repeated question keeps its last value.
+    """Adds ``answers`` (``map<Qn, value>``, the last of repeated answers counts)
+    and ``questions``, the distinct keys.
 
-    Staged selects, so that each regex runs once per row.
+    Staged selects, so that each expression runs once per row.
     """
     text = F.col(response_col)
     found = df.withColumns({
         "_n": F.regexp_extract_all(text, F.lit(_ANSWER), 1),
         "_v": F.regexp_extract_all(text, F.lit(_ANSWER), 2),
     })
-    trimmed = found.withColumns({
+    named = found.withColumns({
         "_n": F.transform("_n", lambda n: F.concat(F.lit("Q"), n)),
         "_v": F.transform("_v", lambda v: F.btrim(strip(v), F.lit(ZERO_WIDTH_SPACE))),
-    })
+    }).withColumn("questions", F.array_distinct("_n"))
     keys, values = F.col("_n"), F.col("_v")
     last_only = F.filter(
         F.arrays_zip(keys.alias("key"), values.alias("value")),
         lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]),
     )
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    unique = F.size("questions") == F.size(keys)
     answers = F.when(unique, F.map_from_arrays(keys, values)).otherwise(F.map_from_entries(last_only))
-    return trimmed.withColumn("answers", answers).drop("_n", "_v")
+    return named.withColumn("answers", answers).drop("_n", "_v")
 
 
 def line_count(text: Column) -> Column:
@@ -71,13 +72,10 @@ def line_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(breaks + F.when(closed, 0).otherwise(1)).cast("int")
 
 
-def parse_metadata(response: Column, answers: Column) -> Column:
-    present = F.map_keys(answers)
-    count = F.size(present)
+def parse_metadata(response: Column, questions: Column, missing: Column) -> Column:
+    """``missing`` lists the expected questions that are absent (empty when complete)."""
+    count = F.size(questions)
     complete = count == EXPECTED_QUESTIONS
-    missing = F.when(complete, F.array().cast("array<string>")).otherwise(
-        F.array_except(F.lit(_EXPECTED_KEYS), present)
-    )
     warning = F.concat(
         F.lit("incomplete_record: missing="),
         F.array_join(F.slice(missing, 1, 10), ","),
@@ -98,8 +96,12 @@ def parse_answers(df: DataFrame, response_col: str = "response") -> DataFrame:
     others = [c for c in df.columns if c != response_col]
     text = F.coalesce(F.col(response_col), F.lit(""))
     parsed = with_answers(df.select(*others, text.alias(response_col)), response_col)
-    meta = parse_metadata(F.col(response_col), F.col("answers"))
-    return parsed.select(*others, "answers", meta.alias("metadata"))
+    questions = F.col("questions")
+    missing = F.when(F.size(questions) == EXPECTED_QUESTIONS, F.array().cast("array<string>")).otherwise(
+        F.array_except(F.lit(_EXPECTED_KEYS), questions)
+    )
+    meta = parse_metadata(F.col(response_col), questions, F.col("_missing"))
+    return parsed.withColumn("_missing", missing).select(*others, "answers", meta.alias("metadata"))
 
 
 def parse_blocks(df: DataFrame, text_col: str = "value") -> DataFrame:

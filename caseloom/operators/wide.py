@@ -71,19 +71,19 @@ def multiselect_fields(answers: Column, questions: list[str], codebook: Codebook
     """``array<struct<known, unknown, status, conflict>>`` in question order."""
     tokens = F.transform(
         tk.answer_list(answers, questions),
-        lambda c: F.struct(c["question"].alias("question"), tk.answer_tokens(c["answer"]).alias("tokens")),
+        lambda c: F.struct(
+            c["question"].alias("question"),
+            tk.answer_tokens(c["answer"]).alias("tokens"),
+            codebook.allowed_for(c["question"]).alias("allowed"),
+        ),
     )
 
     def field(c: Column) -> Column:
-        q, t = c["question"], c["tokens"]
-
-        def is_known(x: Column) -> Column:
-            return F.coalesce(F.array_contains(codebook.allowed_for(q), x), F.lit(True))
-
+        t, allowed = c["tokens"], c["allowed"]
         return F.struct(
-            F.filter(t, is_known).alias("known"),
-            F.filter(t, lambda x: ~is_known(x)).alias("unknown"),
-            tk.multiselect_status(q, t).alias("status"),
+            F.when(allowed.isNull(), t).otherwise(F.filter(t, lambda x: F.array_contains(allowed, x))).alias("known"),
+            F.filter(t, lambda x: ~F.array_contains(allowed, x)).alias("unknown"),
+            tk.multiselect_status(c["question"], t).alias("status"),
             tk.exclusivity_conflict(t).alias("conflict"),
         )
 

@@ -41,6 +41,8 @@ def test_answer_layouts(spark):
     assert a[6] == {"Q9": "x"}
     assert a[7] == {"Q11": "a\x0bb\x85c\u2028d"}
     assert a[8] == {"Q5": ""}
+    assert parse(spark, "Answer 5:", "Answer 5:\n", "Answer 5: ")[0].answers == {}
+    assert [r.answers for r in parse(spark, "Answer 5:\n", "Answer 5: ", "Answer 5: x  \n\n")] == [{}, {"Q5": ""}, {"Q5": "x"}]
 
 
 def test_metadata(spark):
