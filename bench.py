@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from caseloom.operators.parse import parse_answers  # noqa: E402
+from caseloom.operators.parse import parse_records  # noqa: E402
 from workload import queries as q  # noqa: E402
 from workload.answers import responses  # noqa: E402
 
@@ -47,7 +47,7 @@ def main() -> None:
     seconds = {}
     text = q.scratch(spark, "responses")
     responses(spark, sf_dir).write.parquet(text)
-    seconds["parse"] = write(parse_answers(spark.read.parquet(text)))
+    seconds["parse"] = write(parse_records(spark.read.parquet(text)))
     q.parsed(spark, sf_dir)
     for name in HEADLINE:
         start = time.time()

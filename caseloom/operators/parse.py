@@ -91,8 +91,12 @@ def parse_metadata(response: Column, questions: Column, missing: Column) -> Colu
     )
 
 
-def parse_answers(df: DataFrame, response_col: str = "response") -> DataFrame:
-    """Adds ``answers`` and ``metadata``; the text itself is dropped."""
+def parse_records(df: DataFrame, response_col: str = "response") -> DataFrame:
+    """Adds ``answers`` and ``metadata``; the text itself is dropped.
+
+    For a result that is written at once.  Use :func:`parse_answers` when more
+    operators follow in the same plan.
+    """
     others = [c for c in df.columns if c != response_col]
     text = F.coalesce(F.col(response_col), F.lit(""))
     parsed = with_answers(df.select(*others, text.alias(response_col)), response_col)
@@ -104,6 +108,18 @@ def parse_answers(df: DataFrame, response_col: str = "response") -> DataFrame:
     return parsed.withColumn("_missing", missing).select(*others, "answers", meta.alias("metadata"))
 
 
+def parse_answers(df: DataFrame, response_col: str = "response") -> DataFrame:
+    """:func:`parse_records` for use inside a longer plan.
+
+    The record leaves through a one-element explode.  Filters on answers stop
+    there: pushed further down, each would repeat the parsing expressions.
+    """
+    records = parse_records(df, response_col)
+    others = [c for c in records.columns if c not in ("answers", "metadata")]
+    packed = F.array(F.struct("answers", "metadata"))
+    return records.select(*others, F.explode(packed).alias("_record")).select(*others, "_record.answers", "_record.metadata")
+
+
 def parse_blocks(df: DataFrame, text_col: str = "value") -> DataFrame:
     """Concatenated text to parsed records with an ingestion time."""
     blocks = segment_blocks(df, text_col).withColumn("ingestion_timestamp", F.current_timestamp())

@@ -25,6 +25,11 @@ def test_reference_example(spark):
     assert found[0].flags == ["admin_fine_present_but_fine_zero_or_invalid"]
 
 
+def test_filters_do_not_repeat_the_parsing(spark):
+    found = check_consistency(parsed(spark, {37: "0", 53: "ADMINISTRATIVE_FINE"}))
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(") == 2
+
+
 def test_missing_answers_in_rules(spark):
     assert flags(spark, {27: "YES_REQUIRED"}) == ["q27_yes_required_but_q16_not_yes"]
     assert flags(spark, {60: "YES_REQUIRED_NOT_APPOINTED"}) == ["q60_required_not_appointed_but_q61_missing_no_dpo"]

@@ -42,7 +42,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         path = scratch(spark, "parsed")
-        parse.parse_answers(responses(spark, sf_dir)).write.parquet(path)
+        parse.parse_records(responses(spark, sf_dir)).write.parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])
 
