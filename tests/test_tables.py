@@ -19,7 +19,7 @@ def flags(spark, row):
     return consistency_flags(parsed(spark, row)).first().flags
 
 
-def test_reference_example(spark):
+def test_fine_without_amount(spark):
     found = check_consistency(parsed(spark, {37: "0", 53: "ADMINISTRATIVE_FINE"}, {16: "YES"})).collect()
     assert [r.decision_id for r in found] == ["D0"]
     assert found[0].flags == ["admin_fine_present_but_fine_zero_or_invalid"]
