@@ -68,7 +68,7 @@ def grams(code: np.ndarray, q: int) -> np.ndarray:
     parts = [(out, 1, power)]
     while have * 2 <= q:  # hashes of 2, 4, 8, .. characters from those of half as many
         out = out[:-have] * power + out[have:]
-        have, power = have * 2, power * power
+        have, power = have * 2, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
         parts.append((out, have, power))
     mixed, done = None, 0
     for h, size, p in reversed(parts):

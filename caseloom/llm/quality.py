@@ -147,7 +147,8 @@ def keep_documents(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     ``measure``, so nothing is joined and repeated or null ids are harmless.
     """
     packed = documents.select(F.struct("*").alias("doc_id"), F.col("text"))
-    judged = measure(packed, rules=rules).filter("kept")
+    # the row number keeps the optimizer from pushing the verdict below, which would repeat all its rules
+    judged = measure(packed, rules=rules).withColumn("fence", F.monotonically_increasing_id()).filter("kept and fence >= 0")
     out = judged.select("doc_id.*", "cleaned", "n_removed_lines")
     text = F.when(F.col("n_removed_lines") > 0, F.col("cleaned")).otherwise(F.col("text"))
     return out.select(*[
