@@ -3,7 +3,8 @@
 The byte-level vocabulary cuts a text at a single space between two characters
 that are no white space, whatever stands around it, so the parts between such
 spaces can be encoded one by one and remembered.  New parts of a batch are
-encoded together by the tokenizers library and told apart by their offsets.
+encoded together by the tokenizers library and told apart by the space that
+each begins with.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # how byte-level names spell a space
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -50,10 +54,11 @@ class Encoder:
         while at < len(good):
             some = good[at : at + CALL_PARTS]
             at += CALL_PARTS
-            code = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+            code = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0]
             ids = np.array(code.ids, dtype="<u4")
-            last = np.array(code.offsets, np.int64).reshape(-1, 2)[:, 1] - 1  # last character of each token
-            stops = (4 * np.searchsorted(last, np.cumsum([len(p) + 1 for p in some]))).tolist()
+            # a part holds one space, its first character, so the ids that begin with a space are its starts
+            begins = np.flatnonzero(self.spaced[ids])
+            stops = (4 * np.append(begins[1:], len(ids))).tolist()
             raw = ids.tobytes()
             self.new.update(zip(some, map(raw.__getitem__, map(slice, [0] + stops, stops))))
 
@@ -83,7 +88,7 @@ class Encoder:
         parts = _CUT.split(text)
         known = self.new
         out = [self._plain(parts[0])]
-        short = list({p for p in parts[1:] if len(p) <= LONGEST and known.get(p) is None and not p[0].isspace() and not p[-1].isspace()})
+        short = list({p for p in parts[1:] if len(p) <= LONGEST and " " not in p and known.get(p) is None})
         if short:
             self._learn(short)
             known = self.new

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import table
+from caseloom.llm.common import land, table
 
 #: Kinds in rising priority.
 KINDS = ("domain", "prefix", "exact")
@@ -67,7 +67,8 @@ def judge(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col
     """The captures with blocked, kind, pattern, valid_from and valid_to of the deciding entry."""
     asked = captures.select(F.col(url_col).alias("__url"), F.col(time_col).alias("__at")).filter("__url is not null and __at is not null").distinct()
     wanted = asked.select("__url", "__at", F.explode(patterns_of(F.col("__url"))).alias("p")).select("__url", "__at", "p.kind", "p.pattern")
-    active = intervals(events).alias("i")
+    # landed, so that the join sees its size: broadcast if small, else a hot pattern's captures are split
+    active = land(intervals(events), "intervals").alias("i")
     hit = wanted.alias("w").join(
         active,
         (F.col("w.pattern") == F.col("i.pattern")) & (F.col("w.kind") == F.col("i.kind")) & (F.col("__at") >= F.col("i.valid_from"))
