@@ -15,7 +15,7 @@ import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Parts remembered per worker in each of two generations, and the longest of them.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 LONGEST = 48
 #: New parts that are encoded in one call.
 CALL_PARTS = 4096
@@ -105,8 +105,8 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_slices(texts, path: str | None = None, chars: int = 1 << 22):
-    """Ids of the texts in order, a few million characters at a time."""
+def encode_slices(texts, path: str | None = None, chars: int = 1 << 21):
+    """Ids of the texts in order, about two million characters at a time."""
     coder, held, size = encoder(path), [], 0
     for t in texts:
         held.append(t)
