@@ -15,37 +15,38 @@ OPTION_KINDS = ("ENUM", "MULTI_SELECT")
 class Codebook:
     """Allowed tokens per question, held as literals inside the plan.
 
-    A codebook describes one questionnaire (tens of questions, hundreds of
-    options), so the allowed tokens become constant arrays and token validation
-    needs no join.  ``from_frame`` checks that size; a vocabulary beyond it goes
-    through :func:`caseloom.operators.tokens.validate_tokens_long`, which joins
-    against the vocabulary as a DataFrame.
-    """
+    A codebook describes one questionnaire, whatever the number of decisions, so
+    the allowed tokens become constant arrays and token validation needs no join.
+    :func:`caseloom.operators.tokens.validate_tokens_long` joins against a
+    vocabulary given as a DataFrame instead.
 
-    MAX_OPTIONS = 20_000
+    ``kinds`` tells questions with one option from those with several; a question
+    with options of which no kind is given takes several.
+    """
 
-    def __init__(self, options: Mapping[str, Sequence[str]] | None = None):
+    def __init__(self, options: Mapping[str, Sequence[str]] | None = None, kinds: Mapping[str, str] | None = None):
         self.options = {q: tuple(v) for q, v in (options or {}).items() if v}
+        self.kinds = {q: "MULTI_SELECT" for q in self.options} | dict(kinds or {})
+
+    def multi_selects(self) -> list[str]:
+        return [q for q in self.options if self.kinds[q] == "MULTI_SELECT"]
 
     @classmethod
     def default(cls) -> Codebook:
-        return cls(MULTI_SELECT_OPTIONS)
+        return cls(MULTI_SELECT_OPTIONS, {"Q35": "ENUM"})
 
     @classmethod
     def from_frame(cls, frame: DataFrame) -> Codebook:
         """From ``(question, kind, options)`` rows, e.g. :func:`read_codebook`."""
         rows = (
             frame.filter(F.col("kind").isin(*OPTION_KINDS))
-            .select("question", F.posexplode("options").alias("ordinal", "token"))
-            .limit(cls.MAX_OPTIONS + 1)
+            .select("question", "kind", F.posexplode("options").alias("ordinal", "token"))
             .collect()
         )
-        if len(rows) > cls.MAX_OPTIONS:
-            raise ValueError("vocabulary too large for literals: use validate_tokens_long")
         options: dict[str, list[str]] = {}
         for row in sorted(rows, key=lambda r: (r.question, r.ordinal)):
             options.setdefault(row.question, []).append(row.token)
-        return cls(options)
+        return cls(options, {row.question: row.kind for row in rows})
 
     def allowed(self, question: str) -> tuple[str, ...]:
         return self.options.get(question, ())

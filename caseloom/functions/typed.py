@@ -108,7 +108,7 @@ def strict_money(c: Column) -> Column:
     )
     return F.struct(
         number.try_cast("decimal(20,6)").alias("value"),
-        F.when(currency != "", F.when(currency == "\u20ac", "EUR").otherwise(currency)).alias("currency"),
+        F.when(currency == "\u20ac", "EUR").when(currency == "\u00a3", "GBP").when(currency == "$", "USD").when(currency != "", currency).alias("currency"),
     )
 
 

@@ -54,8 +54,8 @@ def sections(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def is_decision(text: Column) -> Column:
-    """False for copies of the wiki's welcome page."""
-    return ~F.startswith(strip(text), F.lit("# Welcome to"))
+    """Whether the part before the contents names a jurisdiction; copies of wiki pages don't."""
+    return F.rlike(header_part(text), F.lit(r"(?m)^\*\*Jurisdiction:\*\*"))
 
 
 def drop_non_decisions(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -65,14 +65,14 @@ def drop_non_decisions(df: DataFrame, text_col: str = "text") -> DataFrame:
 def drop_exact_duplicates(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Keep the copy with the smallest id of every text.
 
-    Digests and ids are grouped, the minimum being taken map-side first.  The
-    texts then meet the kept ids by a semi-join on the unique id: a text with
-    very many copies stays spread, and texts move at most once.
+    Digests and ids are grouped, the minimum being taken map-side first.  Only
+    the ids of further copies, few next to all, then leave by an anti-join, so
+    texts stay where they are unless the copies are too many to broadcast.
     """
-    keep = df.select(F.sha2(F.col(text_col), 256).alias("_digest"), F.col(id_col)).groupBy("_digest").agg(
-        F.min(id_col).alias(id_col)
-    )
-    return df.join(keep.select(id_col), id_col, "left_semi")
+    named = df.select(F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")).alias("_digest"), F.col(id_col))
+    again = named.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    further = named.join(again, "_digest").filter(F.col(id_col) != F.col("_first")).select(id_col)
+    return df.join(further, id_col, "left_anti")
 
 
 def cited_articles(df: DataFrame, id_col: str, field: str = "Relevant Law") -> DataFrame:

@@ -7,17 +7,6 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.text import blank_to_empty, strip
 
-# A dimension up to this many rows is broadcast; a larger one is left to the
-# planner (AQE picks sort-merge and splits skewed partitions).
-MAX_BROADCAST_ROWS = 200_000
-
-
-def small_side(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``dim`` for broadcast only after counting at most ``max_rows + 1`` rows."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
-
 
 def fill_forward(df: DataFrame, order_col: str, value_col: str, out_col: str, block_rows: int = 100_000) -> DataFrame:
     """Last non-null ``value_col`` at or before each row, in ``order_col`` order.
@@ -73,7 +62,7 @@ def sector_lookup(df: DataFrame, sectors: DataFrame, code_col: str) -> DataFrame
     Exact code first, then its two leading characters, else the raw code alone.
     """
     wanted = F.btrim(strip(F.col(code_col)), F.lit('"'))
-    dim = small_side(sectors.select("code", "description", "section"))
+    dim = sectors.select("code", "description", "section")  # broadcast by its bytes, or sorted and merged (AQE)
     exact = dim.select(*[F.col(c).alias(f"_x_{c}") for c in dim.columns])
     division = dim.select(*[F.col(c).alias(f"_d_{c}") for c in dim.columns])
     joined = (
@@ -81,8 +70,9 @@ def sector_lookup(df: DataFrame, sectors: DataFrame, code_col: str) -> DataFrame
         .join(exact, F.col("_wanted") == F.col("_x_code"), "left")
         .join(
             division,
+            # a row that needs no second look-up gets a key of its own, not a NULL shared by all
             F.when(F.col("_x_code").isNull() & (F.length("_wanted") >= 2), F.substring("_wanted", 1, 2))
-            == F.col("_d_code"),
+            .otherwise(F.concat(F.lit("\u0000"), F.coalesce("_wanted", F.lit("")))) == F.col("_d_code"),
             "left",
         )
     )
@@ -105,7 +95,7 @@ def sector_codes(c: Column) -> Column:
 
 def with_country_attributes(df: DataFrame, countries: DataFrame, code_col: str = "country_code") -> DataFrame:
     """Left join of ``countries(code, region, languages, ..)``; NULL when absent."""
-    dim = small_side(countries).withColumnRenamed("code", "_code")
+    dim = countries.withColumnRenamed("code", "_code")
     return df.join(dim, F.upper(F.col(code_col)) == F.col("_code"), "left").drop("_code")
 
 

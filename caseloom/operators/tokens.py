@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.tokens import answer_tokens
-from caseloom.operators.enrich import small_side
 
 
 def question_tokens(parsed: DataFrame, questions: list[str], id_col: str = "ID") -> DataFrame:
@@ -24,21 +23,21 @@ def validate_tokens_long(tokens: DataFrame, codebook: DataFrame) -> DataFrame:
 
     A question the codebook does not list accepts every token.
     """
-    allowed = small_side(codebook.select("question", "token").distinct()).withColumn("_known", F.lit(True))
-    listed = small_side(codebook.select("question").distinct()).withColumn("_listed", F.lit(True))
+    allowed = codebook.select("question", "token").distinct().withColumn("_known", F.lit(True))
+    listed = codebook.select("question").distinct().withColumn("_listed", F.lit(True))
     joined = tokens.join(allowed, ["question", "token"], "left").join(listed, "question", "left")
     known = F.col("_known").isNotNull() | F.col("_listed").isNull()
     return joined.withColumn("token_status", F.when(known, "KNOWN").otherwise("UNKNOWN")).drop("_known", "_listed")
 
 
 def known_tokens(tokens: DataFrame, codebook: DataFrame) -> DataFrame:
-    return tokens.join(small_side(codebook.select("question", "token").distinct()), ["question", "token"], "left_semi")
+    return tokens.join(codebook.select("question", "token").distinct(), ["question", "token"], "left_semi")
 
 
 def unknown_tokens(tokens: DataFrame, codebook: DataFrame) -> DataFrame:
     """Tokens of listed questions that the codebook does not allow."""
-    listed = small_side(codebook.select("question").distinct())
-    allowed = small_side(codebook.select("question", "token").distinct())
+    listed = codebook.select("question").distinct()
+    allowed = codebook.select("question", "token").distinct()
     return tokens.join(listed, "question", "left_semi").join(allowed, ["question", "token"], "left_anti")
 
 

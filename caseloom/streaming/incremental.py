@@ -25,14 +25,11 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def drop_redelivered(stream: DataFrame, id_col: str = "decision_id", time_col: str = "ingestion_timestamp",
                      delay: str = "1 day") -> DataFrame:
-    """Keep a decision once within ``delay`` of its deliveries.
+    """Keep a decision once within ``delay`` of its first delivery; a delivery after that counts again.
 
-    Two steps: first once per decision and slice of delivery times, then once
-    per decision.  The copies of a decision that is delivered very often are so
-    spread over 32 tasks, and at most 32 of them reach the task of its key.
+    One state per decision: a copy that is dropped must not prolong the horizon.
     """
-    sliced = stream.withWatermark(time_col, delay).withColumn("_slice", F.pmod(F.xxhash64(time_col), F.lit(32)))
-    return sliced.dropDuplicatesWithinWatermark([id_col, "_slice"]).drop("_slice").dropDuplicatesWithinWatermark([id_col])
+    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([id_col])
 
 
 def running_status_counts(wide: DataFrame, time_col: str = "ingestion_timestamp", width: str = "1 day",

@@ -25,13 +25,15 @@ EXCLUSIVE_MARKERS = ("NOT_APPLICABLE", "NONE_MENTIONED", "NONE_DISCUSSED", "NONE
 ECHO_PREFIXES = ("TYPE:", "ENUM:", "MULTI_SELECT:")
 ABSENCE_TOKENS = (
     "NOT_MENTIONED", "NOT_DISCUSSED", "NOT_APPLICABLE", "UNCLEAR", "NONE", "NONE_MENTIONED",
-    "NONE_DISCUSSED", "NONE_VIOLATED", "NOT_DETERMINED", "NO_FINE_IMPOSED",
+    "NONE_DISCUSSED", "NONE_VIOLATED", "NOT_DETERMINED", "NO_FINE_IMPOSED", "NOT_SPECIFIED", "NO_DEADLINE_SPECIFIED",
+    "FIGURE_UNCLEAR", "NO_BASIS_CLAIMED", "NO_ISSUES_FOUND", "NEITHER",
 )
 
 # --- geography ---------------------------------------------------------------
 COUNTRY_PREFIX = "ISO_3166-1_ALPHA-2:"
-EU_CODES = tuple(
-    "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE".split()
+EU_CODES = (
+    "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL",
+    "PT", "RO", "SK", "SI", "ES", "SE",
 )
 EEA_ONLY_CODES = ("IS", "LI", "NO")
 COUNTRY_WHITELIST = EU_CODES + EEA_ONLY_CODES + ("EU", "UNCLEAR")

@@ -40,23 +40,23 @@ def test_codebook_json_and_prompt(spark, tmp_path):
 
 def test_sector_csv(spark, tmp_path):
     p = tmp_path / "sectors.csv"
-    p.write_text('"Code","Description"\n"J","Information and communication"\n"62","Computer programming, consultancy"\n'
-                 '"6209","Other information\ntechnology"\nshort\n"62","Again",extra\nK,Finance\n64,\n', encoding="utf-8")
+    p.write_text('"Code","Description"\n"S","Shops, stalls and markets"\n"47","Retail, all kinds"\n'
+                 '"4711","Corner\nshops"\nshort\n"47","Again",extra\nK,Finance\n64,\n', encoding="utf-8")
     dim = {r.code: (r.description, r.section) for r in enrich.sector_dimension(readers.read_sector_csv(spark, str(p))).collect()}
-    assert dim["6209"] == ("Other information\ntechnology", "J") and dim["62"] == ("Again", "J")
+    assert dim["4711"] == ("Corner\nshops", "S") and dim["47"] == ("Again", "S")
     assert dim["K"] == ("Finance", "K") and dim["64"] == ("", "K") and "short" not in dim
 
 
-def test_small_side_is_checked(spark):
-    dim = spark.range(10).select(F.col("id").cast("string").alias("code"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        fact = spark.range(100).select(F.col("id").cast("string").alias("code"))
-        small = fact.join(enrich.small_side(dim), "code", "left")._jdf.queryExecution().executedPlan().toString()
-        large = fact.join(enrich.small_side(dim, max_rows=5), "code", "left")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in small and "SortMergeJoin" in large
+def test_redelivery_after_the_horizon_counts_again(spark, tmp_path):
+    schema = "decision_id string, ingestion_timestamp timestamp"
+    src, out, ck = (str(tmp_path / n) for n in ("src2", "out2", "ck2"))
+    arrivals = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 21:36:00"), ("b", "2024-01-02 06:00:00"), ("c", "2024-01-03 07:00:00"), ("a", "2024-01-02 12:00:00")]
+    for row in arrivals:
+        spark.createDataFrame([row], "decision_id string, t string").select(
+            "decision_id", F.to_timestamp("t").alias("ingestion_timestamp")).write.mode("append").parquet(src)
+        incremental.write_available(incremental.drop_redelivered(spark.readStream.schema(schema).parquet(src)), out, ck)
+    got = [r.decision_id for r in spark.read.schema(schema).parquet(out).collect()]
+    assert sorted(got) == ["a", "a", "b", "c"]
 
 
 def test_run_all_and_sinks(spark, tmp_path):
@@ -90,13 +90,15 @@ def test_corpus_reader_and_fields(spark, tmp_path):
     d = tmp_path / "c" / "authorities" / "Czech Republic"
     d.mkdir(parents=True)
     (d / "a+b.md").write_text(
-        "# T\n\n**Authority:** X\n\n**Fine:** 900.000 EUR\n\n**Decided:** 5. 2. 2020\n\n**Relevant Law:** Article 5(1)(f) GDPRArticle 32 GDPR\n\n"
+        "# T\n\n**Jurisdiction:** Czechia\n\n**Authority:** X\n\n**Fine:** 900.000 EUR\n\n**Decided:** 5. 2. 2020\n\n**Relevant Law:** Article 5(1)(f) GDPRArticle 32 GDPR\n\n"
         "## Contents\n\n**Authority:** no\n\n## English Summary\n\n### Facts\n\nfacts\nmore\n\n### Holding\n\nheld\n\n## Comment\n\n"
         "## English Machine Translation of the Decision\n\ntext\n## Part\nend\n", encoding="utf-8")
     (d / "w.md").write_text("# Welcome to the wiki\n", encoding="utf-8")
+    (d / "x.md").write_text("neither heading nor header\n## Contents\n**Jurisdiction:** too late\n", encoding="utf-8")
     docs = readers.read_corpus(spark, str(tmp_path / "c"))
-    assert docs.select("doc_id").distinct().count() == 2
+    assert docs.select("doc_id").distinct().count() == 3
     kept = corpus.drop_non_decisions(docs)
+    assert kept.count() == 1
     r = corpus.sections(corpus.corpus_columns(corpus.header_fields(kept))).first()
     assert (r.body_type, r.country, r.file_name) == ("authorities", "Czech Republic", "a+b.md")
     assert r.header["Authority"] == "X" and str(r.decided) == "2020-02-05"

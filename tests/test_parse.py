@@ -8,14 +8,14 @@ def parse(spark, *texts):
     return [r for r in parse_answers(df).orderBy("ID").collect()]
 
 
-FULL = "\n".join(["Answer 1: ISO_3166-1_ALPHA-2: DE", "Answer 2: BfDI"] + [f"Answer {i}: X" for i in range(3, 69)])
+FULL = "\n".join(["Answer 1: ISO_3166-1_ALPHA-2: PT", "Answer 2: Authority of the test"] + [f"Answer {i}: value {i}" for i in range(3, 69)])
 
 
 def test_complete_block(spark):
     row = parse(spark, FULL)[0]
     assert row.metadata.completeness and row.metadata.question_count == 68
     assert row.metadata.missing_questions == [] and row.metadata.warnings == []
-    assert row.answers["Q1"] == "ISO_3166-1_ALPHA-2: DE"
+    assert row.answers["Q1"] == "ISO_3166-1_ALPHA-2: PT"
     assert row.metadata.parser_version == "1.1.0" and row.metadata.line_count == 68
 
 

@@ -138,15 +138,20 @@ def test_top_tokens_are_cut_before_the_shuffle(spark):
     assert [(r.token, r.n) for r in ranked.collect()] == [("b", 2)]
 
 
-def test_codebook_size_is_checked(spark, monkeypatch):
-    frame = spark.createDataFrame([("Q1", "ENUM", ["B", "A"]), ("Q2", "TYPE", None)], "question string, kind string, options array<string>")
-    assert Codebook.from_frame(frame).options == {"Q1": ("B", "A")}
-    monkeypatch.setattr(Codebook, "MAX_OPTIONS", 1)
-    try:
-        Codebook.from_frame(frame)
-    except ValueError:
-        return
-    raise AssertionError("a large vocabulary must not become literals")
+def test_codebook_of_any_size_keeps_kinds(spark):
+    many = [f"T{k}" for k in range(20_001)]
+    frame = spark.createDataFrame([("Q1", "ENUM", ["B", "A"]), ("Q2", "TYPE", None), ("Q3", "MULTI_SELECT", many)], "question string, kind string, options array<string>")
+    book = Codebook.from_frame(frame)
+    assert book.options["Q1"] == ("B", "A") and len(book.options["Q3"]) == 20_001 and book.multi_selects() == ["Q3"]
+    row = spark.createDataFrame([(["T20000", "x"],)], "t array<string>").select(book.known("Q3", F.col("t")).alias("k")).first()
+    assert row.k == ["T20000"]
+
+
+def test_quantiles_are_exact_beyond_a_sketch(spark):
+    n = 60_000
+    rows = spark.range(n).select((F.pmod(F.col("id") * 7919, F.lit(n)) + 0.5).alias("fine_eur"), F.lit("s").alias("k"), (F.col("id") < 0).alias("z"))
+    got = frequency.fine_quantiles(rows, ["k"]).first()
+    assert (got.p25, got.p50, got.p75, got.p95) == (14999.5, 29999.5, 44999.5, 56999.5)
 
 
 def test_derived_rows(spark):

@@ -122,7 +122,7 @@ def country_cols(q1: str) -> tuple[str, str]:
     p = vocab.COUNTRY_PREFIX
     steps = (
         f"g0 AS (SELECT *, {raw(q1)} AS graw FROM ans),"
-        f" g1 AS (SELECT *, upper(CASE WHEN starts_with(graw, '{p}') THEN {strip('string_split(graw, chr(58))[-1]')} ELSE graw END) AS gup FROM g0),"
+        f" g1 AS (SELECT *, upper(CASE WHEN starts_with(graw, '{p}') THEN {strip("string_split(graw, ':')[-1]")} ELSE graw END) AS gup FROM g0),"
         " geo AS (SELECT *, CASE WHEN gup = 'UK' THEN 'GB' ELSE gup END AS country_code FROM g1)"
     )
     cols = (
@@ -678,12 +678,14 @@ ORACLES["d1_d5_header"] = (
     " CASE doc_id % 5 WHEN 0 THEN 3000.0 WHEN 1 THEN 900000.0 WHEN 2 THEN 14931.0 WHEN 3 THEN NULL ELSE CAST(doc_id AS DOUBLE) END AS fine_amount,"
     " CASE doc_id % 5 WHEN 2 THEN 'RON' WHEN 3 THEN NULL ELSE 'EUR' END AS fine_currency FROM d"
 )
+_ANNEX = "text || '\n\n## Annex\n' || lang"
 ORACLES["d2_sections"] = (
     f"SELECT doc_id, md5({strip('text')}) AS facts, CASE WHEN doc_id % 5 <> 0 THEN 'Held: ' || lang END AS holding,"
-    f" 'Comment on ' || source AS comment, md5({strip('text || chr(10) || chr(10) || chr(35) || chr(35) || chr(32) || chr(65) || ' + repr('nnex') + ' || chr(10) || lang')}) AS machine_translation {_doc}"
+    f" 'Comment on ' || source AS comment, md5({strip(_ANNEX)}) AS machine_translation {_doc}"
 )
 ORACLES["d3_decisions_once"] = (
-    f"SELECT min(doc_id) AS doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE NOT starts_with({strip('text')}, '# Welcome to') GROUP BY text"
+    "SELECT min(doc_id) AS doc_id, CAST(length(t) AS INTEGER) AS n_chars FROM (SELECT doc_id,"
+    " '**Jurisdiction:** ' || lang || '\n\n## Contents\n\n' || text AS t FROM documents WHERE doc_id % 14 <> 3 AND doc_id % 14 <> 4) GROUP BY t"
 )
 ORACLES["d4_cited_articles"] = (
     "SELECT doc_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS position, unnest(['Article ' || CAST(doc_id % 99 + 1 AS STRING) || '(1)(f)', 'Article 32',"

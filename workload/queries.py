@@ -651,7 +651,11 @@ def d2_sections(spark, sf_dir):
 
 @query
 def d3_decisions_once(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents with a header, but for some without one or with it after the contents."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(
+        "CASE doc_id % 14 WHEN 3 THEN text WHEN 4 THEN '## Contents\n## Contents\n**Jurisdiction:** x' || text"
+        " ELSE '**Jurisdiction:** ' || lang || '\n\n## Contents\n\n' || text END"
+    ).alias("text")))
     return corpus.drop_exact_duplicates(corpus.drop_non_decisions(docs), "doc_id").select("doc_id", F.length("text").alias("n_chars"))
 
 
