@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.llm.common import land, table
-from caseloom.llm.tokens import encode_slices, vocabulary_path
+from caseloom.llm.tokens import REMEMBERED, encode_slices, vocabulary_path
 
 WINDOW = 1024
 #: Tokens of a window that may stay empty while other pieces are left.
@@ -114,7 +114,7 @@ def plan_rules(histogram: dict[int, int], window: int = WINDOW, max_slack: int =
     return rules
 
 
-def token_rows(documents: DataFrame, id_col: str, text_col: str, end_id: int, window: int, path: str | None) -> DataFrame:
+def token_rows(documents: DataFrame, id_col: str, text_col: str, end_id: int, window: int, path: str | None, remembered: int) -> DataFrame:
     """(row, doc_id, n, crcs of the full windows, tail ids), landed."""
     kind = T.StructType([
         T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("tail", T.BinaryType()),
@@ -123,7 +123,7 @@ def token_rows(documents: DataFrame, id_col: str, text_col: str, end_id: int, wi
     @F.pandas_udf(kind)
     def encode(texts: pd.Series) -> pd.DataFrame:
         end, out = np.array([end_id], "<u4").tobytes(), []
-        for ids in encode_slices(texts, path):
+        for ids in encode_slices(texts, path, remembered):
             ids += end
             full = len(ids) // (4 * window) * 4 * window
             out.append((len(ids) // 4, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, full, 4 * window)], ids[full:]))
@@ -137,11 +137,14 @@ def token_rows(documents: DataFrame, id_col: str, text_col: str, end_id: int, wi
 
 def pack(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, window: int = WINDOW,
-    max_slack: int = MAX_SLACK, path: str | None = None,
+    max_slack: int = MAX_SLACK, path: str | None = None, remembered: int = REMEMBERED,
 ) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece.
+
+    ``remembered`` words per worker trade memory for speed; the result is the same.
+    """
     spark = documents.sparkSession
-    rows = token_rows(documents, id_col, text_col, end_id, window, vocabulary_path(path))
+    rows = token_rows(documents, id_col, text_col, end_id, window, vocabulary_path(path), remembered)
     whole = rows.filter(F.size("crcs") > 0).select(
         "row", "doc_id", "n", F.posexplode("crcs").alias("k", "crc")
     ).select("row", "doc_id", "n", (F.col("k") * window).cast("long").alias("start"), F.lit(window).alias("length"), "crc")

@@ -14,8 +14,8 @@ import re
 import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Parts remembered per worker in each of two generations, and the longest of them.
-REMEMBERED = 250_000
+#: Parts remembered per worker in each of two generations (some 230 bytes each), and the longest of them.
+REMEMBERED = 600_000
 LONGEST = 48
 #: New parts that are encoded in one call.
 CALL_PARTS = 4096
@@ -36,6 +36,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.remembered = REMEMBERED
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -64,7 +65,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.new) > REMEMBERED:
+        if len(self.new) > self.remembered:
             self.old, self.new = self.new, {}
         split = [t.split(" ") for t in texts]
         seen = set().union(*(s[1:] for s in split))
@@ -105,9 +106,10 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_slices(texts, path: str | None = None, chars: int = 1 << 21):
+def encode_slices(texts, path: str | None = None, remembered: int = REMEMBERED, chars: int = 1 << 21):
     """Ids of the texts in order, about two million characters at a time."""
     coder, held, size = encoder(path), [], 0
+    coder.remembered = remembered
     for t in texts:
         held.append(t)
         size += len(t)
