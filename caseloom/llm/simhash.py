@@ -105,26 +105,34 @@ def _pairs(data: np.ndarray, asks: np.ndarray, own: np.ndarray, radius: int) ->
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, block edges) of sorted batches; the last block of a batch waits for the next one."""
+    rest: pd.DataFrame | None = None
+    for batch in itertools.chain(batches, [None]):
+        held = [x for x in (rest, batch) if x is not None and len(x)]
+        if not held:
+            continue
+        pdf = pd.concat(held, ignore_index=True)
+        block = pdf["block"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+        if batch is not None:
+            edges = edges[:-1]
+        rest = pdf.iloc[edges[-1] :]
+        yield pdf, edges
+
+
 def _search(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for batch in itertools.chain(batches, [None]):
-            held = [x for x in (rest, batch) if x is not None and len(x)]
-            if not held:
-                continue
-            pdf = pd.concat(held, ignore_index=True)
-            block, fp, role = pdf["block"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["role"].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            whole = len(starts) - 1 if batch is None else len(starts) - 2
+        for pdf, edges in whole_blocks(batches):
+            fp, role = pdf["fp"].to_numpy().view(np.uint64), pdf["role"].to_numpy()
             a, b = [], []
-            for s, e in zip(starts[:whole], starts[1 : whole + 1]):
+            for s, e in itertools.pairwise(edges):
                 r, f = role[s:e], fp[s:e]
                 data, asks = f[r == 0], r > 0
                 if len(data) and asks.any():
                     x, y = _pairs(data, f[asks], r[asks] == 1, radius)
                     a.append(x)
                     b.append(y)
-            rest = pdf.iloc[starts[whole] :]
             if a:
                 x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -132,29 +140,28 @@ def _search(radius: int):
     return run
 
 
-def linked_pairs(distinct: DataFrame, radius: int = 2, leaf: int = LEAF, levels: int | None = None) -> DataFrame:
-    """All pairs (a, b), a < b, of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits."""
-    spark = distinct.sparkSession
-    levels = levels or levels_for(distinct.count(), leaf)
-    rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
-    steps = ring_steps(levels, radius // 2)
+def sampled(distinct: DataFrame, columns: list[str], key: str) -> list:
+    """At most ``SAMPLE`` rows by hash, from which vantage points are chosen."""
+    return distinct.select(*columns, key).orderBy(F.xxhash64(key), key).limit(SAMPLE).collect()
+
+
+def leaves_of(distinct: DataFrame, sample: np.ndarray, levels: int, radius: int, half: int, tree: int, carried: list[str]) -> DataFrame:
+    """(fp, carried, leaf, role): every fingerprint in its own leaf (role 0) and asking others (1 its own, 2 further)."""
     own = (0,) * levels
-    exploded = []
-    for half in (0, 1):
-        vantage = choose_vantage(((sample >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), levels)
-        bits = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(0xFFFFFFFF)
-        leaf_no = F.lit(half).cast("long")
-        for v in vantage:
-            leaf_no = leaf_no * 64 + F.bit_count(bits.bitwiseXOR(F.lit(v).cast("long"))) + reach_pad(radius)
-        place = lambda step: int(sum(s * 64 ** (levels - 1 - k) for k, s in enumerate(step)))
-        roles = [(0, 0)] + [(place(s), 1 if s == own else 2) for s in steps]
-        exploded.append(
-            distinct.select("fp", leaf_no.alias("leaf")).select(
-                "fp", F.explode(F.array(*[F.struct((F.col("leaf") + p).alias("leaf"), F.lit(r).alias("role")) for p, r in roles])).alias("x")
-            ).select("fp", "x.leaf", "x.role")
-        )
-    asked = exploded[0].union(exploded[1])
+    halves = (sample.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+    bits = F.shiftrightunsigned("fp", 32 * half).bitwiseAND(0xFFFFFFFF)
+    leaf_no = F.lit(tree).cast("long")
+    for v in choose_vantage(halves.astype(np.uint32), levels):
+        leaf_no = leaf_no * 64 + F.bit_count(bits.bitwiseXOR(F.lit(v).cast("long"))) + reach_pad(radius)
+    place = lambda step: int(sum(s * 64 ** (levels - 1 - k) for k, s in enumerate(step)))
+    roles = [(0, 0)] + [(place(s), 1 if s == own else 2) for s in ring_steps(levels, radius // 2)]
+    return distinct.select("fp", *carried, leaf_no.alias("leaf")).select(
+        "fp", *carried, F.explode(F.array(*[F.struct((F.col("leaf") + p).alias("leaf"), F.lit(r).alias("role")) for p, r in roles])).alias("x")
+    ).select("fp", *carried, "x.leaf", "x.role")
+
+
+def blocks_of(asked: DataFrame, leaf: int, key: str, columns: list[str]) -> DataFrame:
+    """(block, columns, role), dealt by block: a leaf above ``leaf`` rows is cut so that each of its pairs meets in one block."""
     sizes = asked.groupBy("leaf").agg(
         F.count(F.when(F.col("role") == 0, 1)).alias("stored"), F.count(F.when(F.col("role") > 0, 1)).alias("asking")
     ).filter(f"stored > 0 and (stored > {leaf} or asking > {4 * leaf})")
@@ -162,21 +169,28 @@ def linked_pairs(distinct: DataFrame, radius: int = 2, leaf: int = LEAF, levels:
         "leaf", F.ceil(F.col("stored") / leaf).cast("int").alias("nd"), F.ceil(F.col("asking") / (4 * leaf)).cast("int").alias("nq")
     )
     joined = asked.join(cut, "leaf", "left")
-    one, mine = F.lit(1), F.xxhash64("fp")
+    one, mine = F.lit(1), F.xxhash64(key)
     nd, nq = F.coalesce("nd", one), F.coalesce("nq", one)
     others = F.when(F.col("role") == 0, nq).otherwise(nd)
     blocks = joined.select(
-        "fp", "role", "leaf", nd.alias("nd"), nq.alias("nq"), F.explode(F.sequence(F.lit(0), others - 1)).alias("k")
+        *columns, "role", "leaf", nd.alias("nd"), nq.alias("nq"), F.explode(F.sequence(F.lit(0), others - 1)).alias("k")
     ).select(
-        "fp", "role",
+        *columns, F.col("role").cast("int").alias("role"),
         F.xxhash64(
             "leaf",
             F.when(F.col("role") == 0, F.pmod(mine, F.col("nd"))).otherwise(F.col("k").cast("long")),
             F.when(F.col("role") == 0, F.col("k").cast("long")).otherwise(F.pmod(mine, F.col("nq"))),
         ).alias("block"),
     )
-    dealt = blocks.repartition("block").sortWithinPartitions("block")
-    pairs = dealt.select("block", "fp", F.col("role").cast("int").alias("role")).mapInPandas(_search(radius), "a long, b long")
+    return blocks.repartition("block").sortWithinPartitions("block").select("block", *columns, "role")
+
+
+def linked_pairs(distinct: DataFrame, radius: int = 2, leaf: int = LEAF, levels: int | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, of the distinct fingerprints ``fp`` that differ in at most ``radius`` bits."""
+    levels = levels or levels_for(distinct.count(), leaf)
+    sample = np.array([r["fp"] for r in sampled(distinct, [], "fp")], np.int64)
+    asked = leaves_of(distinct, sample, levels, radius, 0, 0, []).union(leaves_of(distinct, sample, levels, radius, 1, 1, []))
+    pairs = blocks_of(asked, leaf, "fp", ["fp"]).mapInPandas(_search(radius), "a long, b long")
     return pairs.distinct()
 
 

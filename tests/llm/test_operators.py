@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from caseloom.llm import decontaminate, huffman, language, packing, pii, quality, simhash, tokens, toxicity, urlfilter, warc
+from caseloom.llm import copies, decontaminate, huffman, language, packing, pii, quality, simhash, tokens, toxicity, urlfilter, warc
 from caseloom.llm.common import fresh_path
 from caseloom.llm.components import connected_components
 
@@ -53,6 +53,7 @@ def test_every_operator_takes_no_rows(spark, nothing, labels, benchmark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (
         quality.measure(nothing), quality.keep_documents(nothing), simhash.near_duplicates(nothing), simhash.keep_first(nothing),
+        copies.keep_first_copy(nothing),
         decontaminate.find(nothing, benchmark), decontaminate.find(nothing, nothing.select(nothing.doc_id.alias("item_id"), "text")),
         pii.find(nothing), pii.redact(nothing), packing.pack(nothing), huffman.write_and_read(nothing), toxicity.score(nothing, labels),
         language.predict(nothing), warc.read(warc.write(pages, fresh_path(spark, "w"))),
@@ -70,7 +71,10 @@ def test_every_operator_keeps_all_rows(docs, labels, benchmark, texts):
 
 
 def test_stages_keep_the_columns(docs, benchmark):
-    for df in (quality.keep_documents(docs), simhash.keep_first(docs), decontaminate.remove_contaminated(docs, benchmark), pii.redact(docs)):
+    for df in (
+        quality.keep_documents(docs), simhash.keep_first(docs), copies.keep_first_copy(docs), decontaminate.remove_contaminated(docs, benchmark),
+        pii.redact(docs),
+    ):
         assert df.columns == docs.columns
         df.collect()
 
@@ -131,6 +135,38 @@ def test_simhash_components(docs, texts):
     assert kept == [(False, 1), (False, 6), (False, 8), (False, 9), (True, 0), (True, 0)]
 
 
+def test_near_copies_leave_and_others_stay(spark, docs):
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in copies.keep_first_copy(docs).select("doc_id").collect())
+    assert kept == [(False, 1), (False, 3), (False, 6), (False, 8), (False, 9), (True, 0)]
+    r, rows = random.Random(8), []
+    for k in range(60):
+        w = [f"w{r.randrange(4000)}" for _ in range(220)]
+        for c in range(3):
+            v = list(w)
+            for _ in range(c):
+                v[r.randrange(220)] = "edited"
+            rows.append((3 * k + c, " ".join(v)))
+    left = {x["doc_id"] for x in copies.keep_first_copy(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {3 * k for k in range(60)} <= left and len(left) <= 64
+
+
+def test_link_forest_against_plain_search():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 40):
+        asks, data = np.arange(n) * 2, np.arange(n) * 3
+        near = (r.random((n, n)) < 1.5 / n) & (asks[:, None] != data[None, :])
+
+        def groups(edges):
+            of = {int(x): {int(x)} for x in (*asks, *data)}
+            for a, b in edges:
+                joint = of[int(a)] | of[int(b)]
+                of.update(dict.fromkeys(joint, joint))
+            return of
+
+        found = copies.forest(near, asks, data)
+        assert groups(found) == groups([(asks[i], data[j]) for i, j in zip(*np.nonzero(near))]) and len(found) < 2 * n
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 300)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
