@@ -150,6 +150,32 @@ def test_near_copies_leave_and_others_stay(spark, docs):
     assert {3 * k for k in range(60)} <= left and len(left) <= 64
 
 
+@pytest.mark.parametrize("chunk", [40, 1024])
+def test_near_copies_by_exact_similarity(spark, chunk):
+    r, texts = random.Random(11), []
+    base = [f"b{r.randrange(5000)}" for _ in range(200)]
+    for edits in [3] * 150 + [6] * 40 + [9] * 40:  # one big group, whose members are alike in all degrees
+        v = list(base)
+        for k in r.sample(range(200), edits):
+            v[k] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    for k in range(60):  # pairs around the limit
+        w = [f"w{r.randrange(4000)}" for _ in range(120)]
+        v = list(w)
+        for i in r.sample(range(120), 1 + k % 8):
+            v[i] = "edited"
+        texts += [" ".join(w), " ".join(v)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(x["doc_id"] for x in copies.keep_first_copy(df, chunk=chunk).collect()) == sorted(set(root))
+
+
 def test_link_forest_against_plain_search():
     r = np.random.default_rng(3)
     for n in (1, 5, 40):
