@@ -4,7 +4,9 @@ The byte-level vocabulary cuts a text at a single space between two characters
 that are no white space, whatever stands around it, so the parts between such
 spaces can be encoded one by one and remembered.  New parts of a batch are
 encoded together by the tokenizers library and told apart by the space that
-each begins with.
+each begins with.  A text that holds the string of an added token, such as
+``<|endoftext|>``, is encoded whole, as the library takes that string as one id
+and an added token may hold or take in spaces.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = REMEMBERED
         self.new: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
@@ -64,7 +66,11 @@ class Encoder:
             self.new.update(zip(some, map(raw.__getitem__, map(slice, [0] + stops, stops))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers, those of the tokenizer's plain call."""
+        whole = [any(a in t for a in self.added) for t in texts]
+        if any(whole):
+            rest = iter(self.encode([t for t, w in zip(texts, whole) if not w]))
+            return [self._plain(t) if w else next(rest) for t, w in zip(texts, whole)]
         if len(self.new) > self.remembered:
             self.old, self.new = self.new, {}
         split = [t.split(" ") for t in texts]

@@ -267,6 +267,17 @@ def test_token_parts_equal_whole_texts():
     assert list(tokens.encode_slices(texts)) == whole
 
 
+def test_token_ids_equal_the_plain_call():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    r = random.Random(2)
+    parts = ["a", " ", "  ", "\n", "é", ".", "the ", "<|endoftext|>", " <|endoftext|> ", "<|endoftext|", "|>", "x" * 60]
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", *("".join(r.choice(parts) for _ in range(r.randrange(20))) for _ in range(1000))]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tokens.encode_slices(texts)) == want
+
+
 def test_code_lengths_are_optimal_and_bounded():
     import heapq
 
