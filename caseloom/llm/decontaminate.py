@@ -8,10 +8,18 @@ an occurrence lies in one band whole.  Bands that reach the bound are verified
 by a banded alignment; the others can't hold an occurrence.
 
 Texts and items are compared in lower case, with ASCII punctuation and white
-space as single spaces; spans count characters of that form.  An item longer
-than ``window`` is searched by overlapping windows, so a long part of it is
-found too.  The benchmark is the query set: it is sent to executors in blocks of
-bounded size, and every block is held against all documents.
+space as single spaces; spans count characters of that form.  An item is
+searched whole or, above ``window`` characters, by windows whose starts lie no
+more than their edit budget (12) apart; besides it is searched by passages of
+half a window (60 characters, starts 6 apart) with half the edit share, as
+shorter passages have fewer q-grams to tell.  So a passage of an item is found
+wherever it lies in it: from 60 characters on if verbatim, from 65 on with up to
+3 edits in 60, from 131 on with up to 12 in 120.  Shorter passages, and parts of
+items under 60 characters, are not looked for.  Items too short for their edit
+budget at ``q`` are indexed with half of it.
+
+The benchmark is the query set: it is sent to executors in blocks of bounded
+size, and every block is held against all documents.
 
 Defined cases: a null or empty text matches nothing; items with null id or with
 fewer than ``q`` characters are left out; repeated rows are judged one by one;
@@ -33,7 +41,7 @@ from pyspark.sql import types as T
 from caseloom.llm.common import table, total
 
 #: Bytes of benchmark text in one broadcast.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 3 << 20
 #: Characters of a document that are searched at a time.
 STRETCH = 1 << 20
 
@@ -80,14 +88,22 @@ def grams(code: np.ndarray, q: int) -> np.ndarray:
     return mixed * _MIX
 
 
-def windows_of(text: str, size: int) -> list[str]:
-    """Windows of ``size`` characters, half overlapping, the last one at the end."""
+def windows_of(text: str, size: int, step: int) -> list[str]:
+    """Windows of ``size`` characters, ``step`` apart, the last one at the end."""
     if len(text) <= size:
         return [text]
-    starts = list(range(0, len(text) - size, size // 2)) + [len(text) - size]
+    starts = list(range(0, len(text) - size, step)) + [len(text) - size]
     return [text[s : s + size] for s in starts]
 
 
+def searched(text: str, limits: Limits) -> list[tuple[str, int]]:
+    """The windows of an item, or the whole of it, and its passages, each with its edit share in percent."""
+    full, half, least = limits.edit_percent, limits.edit_percent // 2, limits.window // 2
+    windows = windows_of(text, limits.window, max(limits.window * full // 100, 1))
+    passages = windows_of(text, least, max(2 * (least * half // 100), 1)) if len(text) > least else []
+    return [(w, full) for w in windows] + [(p, half) for p in passages]
+
+
 def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence whose diagonals lie in [low - k, high + k), if within ``k`` edits."""
     first, width = low - k, high - low + 2 * k
@@ -116,15 +132,19 @@ def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int,
 class Index:
     """Q-grams of all windows of a block of items."""
 
-    def __init__(self, items: Iterable[tuple[int, str]], limits: Limits):
-        self.q, self.item, self.text, self.code, k_of, need = limits.q, [], [], [], [], []
-        keys, at = [], []
+    def __init__(self, items: Iterable[tuple[int, str]], limits: Limits, q: int | None = None):
+        self.q, self.item, self.text, self.code, k_of, need = q or limits.q, [], [], [], [], []
+        keys, at, short = [], [], []
         for item_id, text in items:
-            for w in windows_of(plain(text or ""), limits.window):
+            text = plain(text or "")
+            if item_id is None or len(text) < limits.q:
+                continue
+            if q is None and len(text) * limits.edit_percent // 100 > (len(text) - limits.q) // limits.q:
+                short.append((item_id, text))
+                continue
+            for w, share in searched(text, limits):
                 m = len(w)
-                if item_id is None or m < self.q:
-                    continue
-                k = min(m * limits.edit_percent // 100, (m - self.q) // self.q)
+                k = min(m * share // 100, (m - self.q) // self.q)
                 code = codes(w)
                 keys.append(grams(code, self.q))
                 at.append(np.arange(m - self.q + 1, dtype=np.int64) | len(self.text) << 32)
@@ -133,13 +153,16 @@ class Index:
                 self.code.append(code.astype(np.int64))
                 k_of.append(k)
                 need.append(m + 1 - self.q * (k + 1))
+        #: Items whose edit budget needs shorter q-grams.
+        self.short = Index(short, limits, max(limits.q // 2, 1)) if short else None
+        self.longest = max(map(len, self.text), default=0)
         self.k, self.need = np.array(k_of, np.int64), np.array(need, np.int64)
         key, self.place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (at, np.int64)))
         order = np.argsort(key, kind="stable")
         self.place = self.place[order]
         self.key, self.begin = np.unique(key[order], return_index=True)
         self.count = np.diff(np.append(self.begin, len(key)))
-        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(len(key) * 32 + 1)))))
+        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(len(self.key) * 32 + 1)))))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
         self.maybe[self.key >> self.shift] = True
 
@@ -156,7 +179,12 @@ class Index:
         n = self.count[found]
         which = np.repeat(self.begin[found] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         place = self.place[which]
-        w, diagonal = place >> 32, np.repeat(pos, n) - (place & 0xFFFFFFFF)
+        w = place >> 32
+        enough = np.flatnonzero((np.bincount(w, minlength=len(self.need)) >= self.need)[w])  # others can't reach the bound in a band
+        if not len(enough):
+            return []
+        place, w = place[enough], w[enough]
+        diagonal = np.repeat(pos, n)[enough] - (place & 0xFFFFFFFF)
         band = diagonal // (self.k[w] + 1)
         both = np.concatenate([w << 40 | (band + (1 << 30)), w << 40 | (band - 1 + (1 << 30))])
         order = np.argsort(both, kind="stable")
@@ -173,8 +201,9 @@ class Index:
 
     def matches(self, text: str) -> list[tuple]:
         """The first found occurrence of each item: (item_id, start, end, edits)."""
-        clean, found = plain(text), {}
-        overlap = 2 * max(map(len, self.text), default=0)
+        clean = plain(text)
+        found = {m[0]: m for m in self.short.matches(clean)} if self.short else {}
+        overlap = 2 * self.longest
         for at in range(0, max(len(clean), 1), STRETCH):
             part = clean[at : at + STRETCH + overlap]
             code = codes(part)

@@ -232,6 +232,25 @@ def test_contaminated_spans_against_plain_alignment(spark):
     assert index.matches("") == []
 
 
+def test_passages_are_found_wherever_they_lie(spark):
+    r, rows = random.Random(12), []
+    items = {k: decontaminate.plain(words(400 + k, n)) for k, n in enumerate([8, 12, 20, 30, 60] * 4)}
+    for k, item in items.items():
+        for size in (60, 61, 90, 117, 140):
+            for at in {0, len(item) - size, *(r.randrange(max(len(item) - size, 0) + 1) for _ in range(4))}:
+                if 0 <= at <= len(item) - size:
+                    rows.append((len(rows), words(600 + len(rows), 30) + " #" + item[at : at + size] + "# " + words(900 + len(rows), 20), k))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(-1, words(5000, 3000))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {x["doc_id"]: x["items"] for x in decontaminate.find(df, bench).collect()}
+    assert len(rows) > 200 and [i for i, _, k in rows if k not in got[i]] == [] and got[-1] == []
+    for item in ("abcdefghij", "the quick brown foxes", "a much longer line of words 12"):  # too short for their budget at q = 8
+        index = decontaminate.Index([(1, item)], decontaminate.Limits())
+        for k in range(1, len(item), 2):
+            assert index.matches("zz " + item[:k] + "q" + item[k + 1 :] + " zz")
+        assert not index.matches(words(77, 50))
+
+
 def test_base_spans_and_votes(spark):
     r = random.Random(5)
     parts = ["a", "b9", "@", "@@", ".", "-", "+", "com", "1", "23", "255", "256", " ", "x@y.z", "4111 1111 1111 1111", "+1 (499) 555-6503", "é", "٣", "8.196.197.208"]
