@@ -22,6 +22,8 @@ from caseloom.llm.common import WHITE_CLASS, table, words
 SYMBOLS = "#*$%&|<>"
 #: Marks that may end a line of prose.
 TERMINAL = ".!?…:;\"'”»)]"
+#: Full stops of other scripts, which ``Rules.by_share`` adds.
+OTHER_TERMINAL = "。．！？｡।॥؟۔።။។"
 #: Marks that prose uses sparingly.
 NOISE = SYMBOLS + "{}[]~^=+!?"
 #: Phrases of legal, cookie and script notices, in lower case.
@@ -43,6 +45,11 @@ class Rules:
     max_separators: int = 1
     short_line: int = 24
     max_lost_percent: int = 50
+    #: Hold separators and phrases against the line's length; ``op7``, whose SQL counts them alone, does not.
+    by_share: bool = False
+    separator_words: int = 6
+    notice_length: int = 160
+    notice_percent: int = 10
 
 
 def has_word(line: Column) -> Column:
@@ -58,12 +65,16 @@ def count_of(text: Column, characters: str) -> Column:
 def fails_punctuation(line: Column, rules: Rules) -> Column:
     """Mostly symbols or exclamation, or a short line that no mark ends."""
     bound = F.greatest(F.lit((rules.min_noise - 1) * 100), F.length(line) * rules.max_noise_percent)
-    bare = (F.length(line) < rules.short_line) & ~F.substring(F.rtrim(line), -1, 1).isin(*TERMINAL)
+    bare = (F.length(line) < rules.short_line) & ~F.substring(F.rtrim(line), -1, 1).isin(*TERMINAL, *(OTHER_TERMINAL if rules.by_share else ()))
     return bare | (count_of(line, NOISE) * 100 > bound)
 
 
 def fails_navigation(line: Column, rules: Rules) -> Column:
-    """Several menu separators."""
+    """Several menu separators; by share, at most ``separator_words`` words to each, and none in paired quotation marks."""
+    if rules.by_share:
+        bare = F.regexp_replace(line, "«([^«»]*)»|»([^«»]*)«|›([^‹›]*)‹|‹([^‹›]*)›", " ")
+        n = count_of(bare, "|»›·")
+        return (n > rules.max_separators) & (F.size(words(line)) <= n * rules.separator_words)
     return F.rlike(line, F.lit("(?:[|»›·][^|»›·]*){%d}" % (rules.max_separators + 1)))
 
 
@@ -76,6 +87,18 @@ def any_phrase(lowered: Column) -> Column:
     return out
 
 
+def fails_notice(line: Column, rules: Rules) -> Column:
+    """A boilerplate phrase; by share, in a short line or over a set share of the line."""
+    lowered = F.lower(line)
+    if not rules.by_share:
+        return any_phrase(lowered)
+    covered = F.lit(0)
+    for phrase in BOILERPLATE:
+        covered = covered + F.length(lowered) - F.length(F.replace(lowered, F.lit(phrase), F.lit("")))
+    much = (F.length(line) <= rules.notice_length) | (covered * 100 >= F.length(line) * rules.notice_percent)
+    return any_phrase(lowered) & much
+
+
 def repeat_words(w: Column, rules: Rules) -> tuple[Column, Column]:
     """(keys of the word windows, positions of exactly repeated windows), see ``measure``."""
     n = rules.window
@@ -104,7 +127,7 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys, exact = repeat_words(F.col("w"), rules)
     passes = F.filter(
         "lines",
-        lambda x: ~(fails_punctuation(x, rules) | fails_navigation(x, rules) | (F.col("notice") & any_phrase(F.lower(x)))),
+        lambda x: ~(fails_punctuation(x, rules) | fails_navigation(x, rules) | (F.col("notice") & fails_notice(x, rules))),
     )
     df = df.select(
         "doc_id", "text", "w", F.size("w").cast("long").alias("n_words"), keys.alias("keys"),
@@ -140,7 +163,7 @@ def measure(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def keep_documents(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def keep_documents(documents: DataFrame, rules: Rules = Rules(by_share=True)) -> DataFrame:
     """The documents that pass, all columns, with the failing lines taken out of ``text``.
 
     The verdict is computed on the row itself: a struct carries the row through

@@ -104,6 +104,16 @@ def test_quality_cleans_lines_then_judges(spark):
     assert not got[3]["kept"]
 
 
+def test_stage_keeps_prose_with_quotes_and_phrases(spark):
+    french = "Le ministre a dit « nous verrons bien » devant les élus, puis il a repris « rien ne presse » avant de partir hier soir."
+    long = words(70, 900) + " The privacy policy of the firm was read. " + words(71, 900)
+    prose = words(72, 30)
+    texts = [french, long, prose + "\n今日は良い天気です。\nयह सच है।", prose + "\nHome » News » Contact\nA | B | C\nAll rights reserved by the makers of this page."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in quality.keep_documents(df).collect()}
+    assert got == {0: french, 1: long, 2: texts[2], 3: prose}
+
+
 def bits_apart(a: int, b: int) -> int:
     return ((a ^ b) & (2**64 - 1)).bit_count()
 
