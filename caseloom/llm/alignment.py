@@ -73,7 +73,8 @@ class ByteLevel:
             self.bytes[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, "<u4").astype(np.int64) for ids in self.encoder.encode([" " + t for t in texts])]
+        """A point before the space makes the text one that starts with a word; it is a token of its own and goes again."""
+        return [np.frombuffer(ids, "<u4")[1:].astype(np.int64) for ids in self.encoder.encode([". " + t for t in texts])]
 
 
 class Pieces:

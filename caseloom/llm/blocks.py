@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import fresh_path, total
 
 BLOCK_BYTES = 8 << 20
-#: Text bytes of a bucket.
-BUCKET_BYTES = 64 << 20
+#: Text bytes of a bucket, and the most buckets a table may have (Spark's default limit); beyond it buckets grow, blocks do not.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 
 
 def text_bytes(documents: DataFrame, text_col: str) -> int:
@@ -47,7 +47,7 @@ def blocked(documents: DataFrame, id_col: str, text_col: str, size: int, block_b
 
     rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     spark = documents.sparkSession
-    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / BUCKET_BYTES))
+    buckets = min(MOST_BUCKETS, max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / BUCKET_BYTES)))
     name = f"blocks_{uuid.uuid4().hex}"
     rows.mapInArrow(number, f"block long, id {kind}, text string").repartition(buckets, "block").write.bucketBy(buckets, "block").option(
         "path", fresh_path(spark, "blocks")
