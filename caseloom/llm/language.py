@@ -29,9 +29,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """``bytes_per_language`` bounds each dictionary; texts above ``longest`` bytes are not sampled for it.
+    """``bytes_per_language`` bounds each dictionary; of a sampled text at most ``longest`` characters go into it.
 
-    Whole texts are taken until the bound. Texts to predict are encoded in
+    Texts of any length are sampled, so a language of long texts alone is learned
+    too.  Texts to predict are encoded in
     pieces of ``piece`` characters, so that the dictionary, not the text before,
     carries the decision; ``margin`` is the least relative distance to accept.
     """
@@ -47,14 +48,14 @@ def learn(documents: DataFrame, d: Dictionaries, id_col: str = "doc_id", text_co
     """Dictionary content by language, from a sample by hash whose expected size is twice the bound."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "doc_id is not null and lang is not null and text is not null"
-    ).filter(~in_fold("doc_id", 3, 1)).withColumn("size", F.octet_length("text")).filter(F.col("size").between(1, d.longest))
+    ).filter(~in_fold("doc_id", 3, 1)).filter("text <> ''").withColumn("size", F.least(F.octet_length("text"), F.lit(d.longest)))
     sizes = {r["lang"]: r["sum(size)"] for r in rows.groupBy("lang").sum("size").collect()}  # a row per language
     if not sizes:
         return {}
     place = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 40))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, 2 * d.bytes_per_language / n)))])
     out: dict[str, list[bytes]] = {lang: [] for lang in sorted(sizes)}
-    for r in rows.filter(place < share[F.col("lang")]).select("lang", "text", place.alias("place")).orderBy("place", "text").collect():
+    for r in rows.filter(place < share[F.col("lang")]).select("lang", F.substring("text", 1, d.longest).alias("text"), place.alias("place")).orderBy("place", "text").collect():
         held = out[r["lang"]]
         if sum(map(len, held)) < d.bytes_per_language:
             held.append(r["text"].lower().encode())
