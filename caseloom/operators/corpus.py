@@ -63,16 +63,21 @@ def drop_non_decisions(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Keep the copy with the smallest id of every text.
+    """Keep of every text the rows with its smallest id.
 
     Digests and ids are grouped, the minimum being taken map-side first.  Only
-    the ids of further copies, few next to all, then leave by an anti-join, so
-    texts stay where they are unless the copies are too many to broadcast.
+    the (digest, id) pairs of further copies, few next to all, then leave by an
+    anti-join, so an id that also names another text keeps that one, and texts
+    stay where they are unless the copies are too many to broadcast.  A NULL text
+    is no copy of another, and a NULL id comes after all others.
     """
-    named = df.select(F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")).alias("_digest"), F.col(id_col))
-    again = named.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    further = named.join(again, "_digest").filter(F.col(id_col) != F.col("_first")).select(id_col)
-    return df.join(further, id_col, "left_anti")
+    digest = F.sha2(F.col(text_col), 256)
+    named = df.select(digest.alias("_digest"), F.col(id_col).alias("_id")).filter("_digest IS NOT NULL")
+    again = named.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    further = named.join(again, "_digest").filter(~F.col("_id").eqNullSafe(F.col("_first"))).select("_digest", "_id").distinct()
+    marked = df.withColumn("_text_digest", digest)
+    gone = (F.col("_text_digest") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return marked.join(further, gone, "left_anti").drop("_text_digest")
 
 
 def cited_articles(df: DataFrame, id_col: str, field: str = "Relevant Law") -> DataFrame:
