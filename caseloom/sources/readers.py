@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import strip
+from caseloom.sources import blocks, quoted_csv
 
-MASTER_SCHEMA = "ID string, response string"
+MASTER_COLUMNS = ["ID", "response"]
 
 
-def read_master_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_master_csv(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """``(ID, response)`` from CSV with line breaks and doubled quotes in cells.
 
-    Such a file cannot be split: land it once with :func:`land` and scan Parquet
-    from then on.
+    A file is read in byte ranges of ``range_bytes``, one task each (see
+    :mod:`caseloom.sources.quoted_csv`); a missing response is empty.
     """
-    raw = (
-        spark.read.schema(MASTER_SCHEMA).option("header", True).option("multiLine", True)
-        .option("escape", '"').csv(path)
-    )
+    raw = quoted_csv.read(spark, path, MASTER_COLUMNS, range_bytes)
     return raw.withColumn("response", F.coalesce("response", F.lit("")))
 
 
@@ -29,9 +27,16 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_answer_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, value)``: one row per file of concatenated answer blocks."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+def read_answer_blocks(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """``(source, range_start, position, value)``: one row per answer block of concatenated files.
+
+    A file is read in byte ranges of ``range_bytes``, one task each.  ``value``
+    runs up to the next block; :func:`caseloom.operators.parse.segment_blocks`
+    cuts it where a block begins that is not kept.
+    """
+    blocks.register(spark)
+    reader = spark.read.format(blocks.FORMAT)
+    return (reader.option("rangeBytes", range_bytes) if range_bytes else reader).load(path)
 
 
 def read_codebook(spark: SparkSession, path: str) -> DataFrame:

@@ -173,10 +173,34 @@ _BLOBS = (
 ORACLES["p1_segment_blocks"] = _BLOBS + (
     " SELECT doc_id, CAST(record_index AS INTEGER) AS record_index, CAST(length(block) AS INTEGER) AS n_chars, md5(block) AS digest FROM kept"
 )
-ORACLES["s2_block_files"] = _BLOBS + " SELECT CAST(length(block) AS INTEGER) AS n_chars, md5(block) AS digest FROM kept"
+_FILES = _BLOBS + (
+    ", filed AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id, blk) - 1 AS file_index FROM kept)"
+)
+ORACLES["s2_block_files"] = _FILES + (
+    " SELECT CAST(doc_id % 8 AS INTEGER) AS part, CAST(file_index AS INTEGER) AS record_index, CAST(length(block) AS INTEGER) AS n_chars,"
+    " md5(block) AS digest FROM filed"
+)
+# A blank answer takes the line after it as its value, and that line is no answer any more;
+# a blank last line is none either.
+_taken = ["false"]
+for _i in range(1, 5):
+    _taken.append(f"(blank[{_i}] AND NOT {_taken[-1]})")
+_value = (
+    f"CASE WHEN blank[i] THEN {strip('ls[i + 1]')} ELSE trim({strip('bares[i]')}, chr(8203)) END"
+)
+ORACLES["v5_k6_parse_blocks"] = _FILES + (
+    f", per AS (SELECT doc_id, blk, list(line ORDER BY i) AS ls, list(bare ORDER BY i) AS bares, list({strip('bare')} = '' ORDER BY i) AS blank FROM b GROUP BY doc_id, blk),"
+    f" marked AS (SELECT f.file_index, f.block, ls, bares, blank, [{', '.join(_taken)}] AS taken FROM filed f JOIN per p ON f.doc_id = p.doc_id AND f.blk = p.blk),"
+    " found AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: NOT coalesce(taken[i], false) AND (NOT blank[i] OR i < len(ls))) AS hits FROM marked),"
+    f" said AS (SELECT *, list_transform(hits, lambda i: 'Q' || CAST(i AS VARCHAR) || '=' || {_value}) AS answers FROM found)"
+    " SELECT CAST(file_index AS INTEGER) AS record_index, true AS timed, CAST(len(hits) AS INTEGER) AS question_count,"
+    r" CAST(len(ls) + len(regexp_extract_all(block, '\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS INTEGER) AS line_count,"
+    " 0 AS complete, CAST(68 - len(hits) AS INTEGER) AS n_missing, 1 AS n_warnings, '1.1.0' AS parser_version,"
+    " md5(array_to_string(answers, chr(10))) AS digest FROM said"
+)
 ORACLES["s1_master_csv"] = _META + (
-    ", vals AS (SELECT id, q1, q30, q37, q44, q68 FROM ans)"
-    " SELECT meta.ID, meta.question_count, q1 AS Q1, q30 AS Q30, q37 AS Q37, q44 AS Q44, q68 AS Q68 FROM meta JOIN vals ON meta.ID = vals.id"
+    ", vals AS (SELECT id, " + ", ".join(f"q{i} AS Q{i}" for i in _all) + " FROM ans)"
+    " SELECT meta.ID, meta.question_count, vals.* EXCLUDE (id) FROM meta JOIN vals ON meta.ID = vals.id"
 )
 
 # --- typed scalars -----------------------------------------------------------

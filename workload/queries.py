@@ -16,8 +16,8 @@ from caseloom.functions.text import language_guess, normalize_text, token_count
 from caseloom.operators import (
     checks, corpus, derived, enrich, frequency, graph, long, matrices, model, parse, qa, retrieval, tokens, wide,
 )
-from caseloom.plans.run import run_all, shared_dir
-from caseloom.sources import readers, sinks
+from caseloom.plans.run import parse_block_files, run_all, shared_dir
+from caseloom.sources import blocks, readers, sinks
 from caseloom.streaming import incremental
 from workload.answers import responses, spread, table
 
@@ -102,38 +102,51 @@ def p1_segment_blocks(spark, sf_dir):
     )
 
 
-def block_files(spark, sf_dir) -> DataFrame:
+#: Small, so that each file of the test tables is read in several ranges.
+RANGE_BYTES = 1 << 16
+
+
+def block_files(spark, sf_dir) -> str:
+    """A folder of files of concatenated blocks: eight files, their documents in order."""
     path = scratch(spark, "blocks")
-    blobs(spark, sf_dir, preamble=False).select("value").write.option("maxRecordsPerFile", 2000).text(path)
-    return readers.read_answer_blocks(spark, path)
+    rows = blobs(spark, sf_dir, preamble=False).withColumn("part", F.col("doc_id") % 8)
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+def part_of(source: Column) -> Column:
+    return F.regexp_extract(source, "part=([0-9]+)", 1).cast("int")
 
 
 @query
 def s2_block_files(spark, sf_dir):
-    return parse.segment_blocks(block_files(spark, sf_dir)).select(
-        F.length("response").alias("n_chars"), F.md5("response").alias("digest")
-    )
+    rows = blocks.responses(readers.read_answer_blocks(spark, block_files(spark, sf_dir), RANGE_BYTES))
+    return rows.select(part_of(F.col("source")).alias("part"), "record_index", F.length("response").alias("n_chars"), F.md5("response").alias("digest"))
 
 
 @query
 def v5_k6_parse_blocks(spark, sf_dir):
     """Parsed records written as JSON lines and read back."""
     path = scratch(spark, "records")
-    sinks.write_records(parse.parse_blocks(block_files(spark, sf_dir)), path)
-    schema = "record_index int, answers map<string,string>, metadata struct<line_count:int,question_count:int>"
+    sinks.write_records(parse_block_files(spark, block_files(spark, sf_dir), RANGE_BYTES), path)
+    schema = ("record_index int, ingestion_timestamp timestamp, answers map<string,string>,"
+              " metadata struct<line_count:int,completeness:boolean,question_count:int,missing_questions:array<string>,warnings:array<string>,parser_version:string>")
+    a, m = F.col("answers"), F.col("metadata")
+    lines = F.transform(F.array_sort(F.map_keys(a)), lambda k: F.concat(k, F.lit("="), a[k]))
     return spark.read.schema(schema).json(path).select(
-        F.col("metadata.question_count").alias("question_count"), F.col("metadata.line_count").alias("line_count"),
-        F.md5(F.coalesce(answers("Q1"), F.lit(""))).alias("digest"),
+        "record_index", F.col("ingestion_timestamp").isNotNull().alias("timed"), m["question_count"].alias("question_count"), m["line_count"].alias("line_count"),
+        m["completeness"].cast("int").alias("complete"), F.size(m["missing_questions"]).alias("n_missing"), F.size(m["warnings"]).alias("n_warnings"),
+        m["parser_version"].alias("parser_version"), F.md5(F.array_join(lines, "\n")).alias("digest"),
     )
 
 
 @query
 def s1_master_csv(spark, sf_dir):
+    """All answers of a master file that several tasks read."""
     path = scratch(spark, "master")
-    responses(spark, sf_dir).write.option("header", True).option("escape", '"').option("maxRecordsPerFile", 50_000).csv(path)
-    rows = parse.parse_answers(readers.read_master_csv(spark, path))
-    return rows.select("ID", F.col("metadata.question_count").alias("question_count"),
-                       *[answers(q).alias(q) for q in ("Q1", "Q30", "Q37", "Q44", "Q68")])
+    responses(spark, sf_dir).repartition(4).write.option("header", True).option("escape", '"').csv(path)
+    rows = parse.parse_answers(readers.read_master_csv(spark, path, 16 * RANGE_BYTES))
+    return rows.select("ID", F.col("metadata.question_count").alias("question_count"), *[answers(f"Q{i}").alias(f"Q{i}") for i in range(1, 69)])
 
 
 # --- typed scalars -----------------------------------------------------------
