@@ -97,91 +97,3 @@ def with_country_attributes(df: DataFrame, countries: DataFrame, code_col: str =
     """Left join of ``countries(code, region, languages, ..)``; NULL when absent."""
     dim = countries.withColumnRenamed("code", "_code")
     return df.join(dim, F.upper(F.col(code_col)) == F.col("_code"), "left").drop("_code")
-
-
-# --- authority registry ------------------------------------------------------
-def _plain_name(c: Column) -> Column:
-    return F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{Nd}]+", " ")
-
-
-def _segment(name: Column, length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (1-based) and width of segment ``i`` when ``length`` is cut in ``parts``."""
-    start = F.floor(length * i / parts)
-    end = F.floor(length * (i + 1) / parts)
-    return (start + 1).cast("int"), (end - start).cast("int")
-
-
-def match_authorities(
-    names: DataFrame,
-    registry: DataFrame,
-    max_distance: int = 3,
-) -> DataFrame:
-    """Match ``names(country, name)`` against ``registry(authority_id, country, authority_name)``.
-
-    Returns ``country, name, authority_id, authority_name, distance, score`` for
-    every distinct name; ``authority_id`` is NULL beyond ``max_distance`` edits.
-
-    Exact matches are an equi-join.  The rest are matched by segments: cut a
-    registry name in ``max_distance + 1`` pieces and, whatever the edits, one
-    piece survives in the other name at most ``max_distance`` places away.
-    Joining on (country, registry length, piece number, piece) therefore finds
-    every pair within the distance without comparing all pairs; ``levenshtein``
-    then decides.  Names are reduced to their distinct values first, so one very
-    frequent authority costs one row.
-    """
-    parts = max_distance + 1
-    distinct = names.filter(strip(F.col("name")) != "").select(
-        "country", "name", _plain_name(F.col("name")).alias("plain")
-    ).distinct()
-    known = registry.select(
-        "authority_id", F.col("country").alias("r_country"), "authority_name",
-        _plain_name(F.col("authority_name")).alias("r_plain"),
-    )
-    exact = distinct.join(
-        known, (F.col("country") == F.col("r_country")) & (F.col("plain") == F.col("r_plain")), "inner"
-    ).select("country", "name", "authority_id", "authority_name", F.lit(0).alias("distance"), "plain", "r_plain")
-    rest = distinct.join(exact.select("country", "name").distinct(), ["country", "name"], "left_anti")
-
-    r_len = F.length("r_plain")
-    pieces = []
-    for i in range(parts):
-        start, width = _segment(F.col("r_plain"), r_len, i, parts)
-        pieces.append(F.struct(F.lit(i).alias("i"), F.substring(F.col("r_plain"), start, width).alias("piece")))
-    left_keys = known.select("*", F.explode(F.array(*pieces)).alias("p")).select(
-        *known.columns, r_len.alias("r_len"), F.col("p.i").alias("i"), F.col("p.piece").alias("piece")
-    )
-
-    # every piece a registry name of length L could have left in this name
-    lengths = F.sequence(F.greatest(F.length("plain") - max_distance, F.lit(1)), F.length("plain") + max_distance)
-    probes = rest.select("*", F.explode(lengths).alias("r_len"))
-    probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"))
-    probes = probes.select("*", F.explode(F.sequence(F.lit(-max_distance), F.lit(max_distance))).alias("shift"))
-    begin = F.floor(F.col("r_len") * F.col("i") / parts)
-    width = F.floor(F.col("r_len") * (F.col("i") + 1) / parts) - begin
-    probes = (
-        probes.withColumns({"_b": (begin + 1 + F.col("shift")).cast("int"), "_w": width.cast("int")})
-        .filter((F.col("_b") >= 1) & (F.col("_b") + F.col("_w") <= F.length("plain") + 1))
-        .withColumn("piece", F.substring(F.col("plain"), F.col("_b"), F.col("_w")))
-        .select("country", "name", "plain", "r_len", "i", "piece")
-        .distinct()
-    )
-    candidates = probes.join(
-        left_keys,
-        (probes.country == left_keys.r_country) & (probes.r_len == left_keys.r_len)
-        & (probes.i == left_keys.i) & (probes.piece == left_keys.piece),
-        "inner",
-    ).select("country", "name", "authority_id", "authority_name", "plain", "r_plain")
-    fuzzy = candidates.withColumn("distance", F.levenshtein("plain", "r_plain", max_distance)).filter(
-        F.col("distance") >= 0
-    ).select(*exact.columns)
-    hits = exact.unionByName(fuzzy)
-    best = hits.groupBy("country", "name").agg(
-        F.min_by(
-            F.struct("authority_id", "authority_name", "distance", "plain", "r_plain"),
-            F.struct("distance", "authority_id"),
-        ).alias("b")
-    ).select(
-        "country", "name", "b.authority_id", "b.authority_name", "b.distance",
-        (1 - F.col("b.distance") / F.greatest(F.length("b.plain"), F.length("b.r_plain"))).alias("score"),
-    )
-    return distinct.select("country", "name").join(best, ["country", "name"], "left")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from caseloom.codebook import Codebook
 from caseloom.operators import corpus, enrich
 from caseloom.operators.parse import parse_answers
-from caseloom.plans.run import derive, run_all, shared_dir
+from caseloom.plans.run import derive, run_all
 from caseloom.sources import readers, sinks
+from caseloom.sources.shared import shared_dir
 from caseloom.streaming import incremental
 from workload import queries as wq
 

@@ -1,10 +1,11 @@
+import itertools
 import json
 import random
 
 from pyspark.sql import functions as F
 
 from caseloom.codebook import Codebook
-from caseloom.operators import derived, enrich, frequency, graph, matrices, model, qa, retrieval
+from caseloom.operators import authorities, derived, enrich, frequency, graph, matrices, model, qa, retrieval
 from caseloom.operators.checks import check_consistency, consistency_flags
 from caseloom.operators.parse import parse_answers
 from caseloom.operators.wide import WIDE_COLUMNS, clean_wide, validate
@@ -107,13 +108,47 @@ def test_authority_match_finds_every_pair(spark):
     wanted = {("FR", mutate(rng.choice(base))) for _ in range(60)}
     names = spark.createDataFrame([*wanted, *wanted], "country string, name string")
     reg = spark.createDataFrame(registry, "authority_id long, country string, authority_name string")
-    got = {r.name: (r.authority_id, r.distance) for r in enrich.match_authorities(names, reg, 2).collect()}
+    got = {r.name: (r.authority_id, r.distance) for r in authorities.match_authorities(names, reg, 2).collect()}
     assert len(got) == len(wanted)
     for _, name in wanted:
         best = min(((edit_distance(name, n), i) for i, _, n in registry))
         assert got[name] == ((best[1], best[0]) if best[0] <= 2 else (None, None)), name
 
 
+def test_pieces_are_the_rarest_disjoint_ones():
+    assert authorities._rarest([9, 1, 9, 9, 2, 9, 0, 9], 3, 3) in ([0, 3, 6], [1, 4, 7], [0, 3, 7], [0, 4, 7], [1, 4, 7])
+    assert authorities._rarest([5, 0, 5, 5, 1], 2, 2) == [1, 4]
+    assert authorities._rarest([3, 1, 2], 1, 2) == [1, 2] and authorities._rarest([7], 0, 4) == [0]
+    rng = random.Random(9)
+    for _ in range(300):
+        size, pieces = rng.randint(1, 3), rng.randint(1, 4)
+        costs = [rng.randint(0, 5) for _ in range(size * pieces - size + 1 + rng.randint(0, 6))]
+        at = authorities._rarest(costs, size, pieces)
+        every = [c for c in itertools.combinations(range(len(costs)), pieces) if all(b - a >= size for a, b in zip(c, c[1:]))]
+        assert tuple(at) in every and sum(costs[i] for i in at) == min(sum(costs[i] for i in c) for c in every)
+
+
+def test_names_that_share_their_words_meet_few_others(spark):
+    """2,000 names that differ in a number alone: all four million pairs share most pieces."""
+    rng = random.Random(3)
+    numbers = rng.sample(range(10**6), 2000)
+    name = lambda n: f"data protection supervisory office no {n:06d} of the land"
+    known = spark.createDataFrame([("DE", name(n)) for n in numbers], "country string, r_plain string")
+    spelt = [(n, name(n).replace("protection", "protecton").replace("office", "ofice")) for n in numbers[:1000]]
+    names = spark.createDataFrame([("DE", t, t) for _, t in spelt], "country string, name string, plain string")
+    for heavy in (50_000, 100):
+        pairs = authorities.candidates(names, known, 2, heavy).distinct()
+        found = {(r.name, r.r_plain) for r in pairs.collect()}
+        assert all((t, name(n)) in found for n, t in spelt)
+        assert len(found) < 40_000  # of 2,000,000
+
+
+def test_a_heavy_piece_is_split(spark):
+    known = spark.createDataFrame([("DE", "abc")], "country string, r_plain string")
+    names = spark.createDataFrame([("DE", f"abcx{i}"[:4 + i % 2], f"abcx{i}"[:4 + i % 2]) for i in range(100)], "country string, name string, plain string").distinct()
+    assert authorities.candidates(names, known, 1, heavy=3).select("name").distinct().count() == names.filter("length(plain) <= 4").count()
+
+
 def test_qa_summary(spark):
     schema = "q30_discussed_known string, q30_discussed_unknown string, q30_discussed_status string, q31_violated_known string"
     rows = [("A", "x,,y", "DISCUSSED", ""), (" ", "x", "DISCUSSED", ""), ("", " ", " ", ""), (None, None, None, None)]

@@ -11,7 +11,7 @@ from caseloom.operators import derived as dv
 from workload.answers import (
     _CODE, ANSWERS, BLANK_44, EXPECTED, EXTRA_69, PADDED_01, REPEAT_40, answers_cte,
 )
-from workload.queries import DECIDED_TEXT, FINE_TEXT, TOLERATED
+from workload.queries import BUREAU, DECIDED_TEXT, FINE_TEXT, LAND, SPELT, TOLERATED
 
 ORACLES: dict[str, str] = {}
 
@@ -511,6 +511,15 @@ ORACLES["x5_authority_match"] = answers_cte(1, 2, extra=_gsteps + (
     " SELECT nm.country, nm.name, authority_id, authority_name, CAST(distance AS INTEGER) AS distance,"
     " round(1 - distance / greatest(length(best.pn), length(rn)), 6) AS score FROM nm LEFT JOIN best USING (country, name)"
 )
+ORACLES["x5_many_authorities"] = (
+    f"WITH nm AS (SELECT DISTINCT country, name, {_plain('name')} AS pn FROM (SELECT {LAND} AS country, {SPELT} AS name FROM part)),"
+    f" reg AS (SELECT p_partkey AS authority_id, {LAND} AS country, {BUREAU} AS authority_name FROM part),"
+    f" c AS (SELECT nm.country, nm.name, pn, authority_id, authority_name, {_plain('authority_name')} AS rn FROM nm JOIN reg ON reg.country = nm.country),"
+    " d AS (SELECT *, levenshtein(pn, rn) AS distance FROM c WHERE abs(length(pn) - length(rn)) <= 3), best AS (SELECT * FROM d WHERE distance <= 3"
+    " QUALIFY row_number() OVER (PARTITION BY country, name ORDER BY distance, authority_id) = 1)"
+    " SELECT nm.country, nm.name, authority_id, authority_name, CAST(distance AS INTEGER) AS distance,"
+    " round(1 - distance / greatest(length(best.pn), length(rn)), 6) AS score FROM nm LEFT JOIN best USING (country, name)"
+)
 ORACLES["x6_country_and_sectors"] = answers_cte(1, 12, extra=_gsteps + (
     f", dim AS (SELECT {_CODE} AS code, r_name AS region, n_name AS languages FROM (SELECT *, n_nationkey AS n FROM nation) JOIN region ON n_regionkey = r_regionkey),"
     " z AS (SELECT *, CASE WHEN graw = '' THEN NULL ELSE gup END AS gc,"
