@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.vocab import MULTI_SELECT_OPTIONS
+from caseloom.vocab import ENUM_OPTIONS, MULTI_SELECT_OPTIONS, OPEN_QUESTIONS, OTHER_MULTI_SELECT_OPTIONS
 
 OPTION_KINDS = ("ENUM", "MULTI_SELECT")
 
@@ -33,7 +33,9 @@ class Codebook:
 
     @classmethod
     def default(cls) -> Codebook:
-        return cls(MULTI_SELECT_OPTIONS, {"Q35": "ENUM"})
+        """All 68 questions; the 57 of kind ENUM or MULTI_SELECT have options."""
+        kinds = OPEN_QUESTIONS | dict.fromkeys([*ENUM_OPTIONS, "Q35"], "ENUM")
+        return cls(MULTI_SELECT_OPTIONS | OTHER_MULTI_SELECT_OPTIONS | ENUM_OPTIONS, kinds)
 
     @classmethod
     def from_frame(cls, frame: DataFrame) -> Codebook:

@@ -147,25 +147,6 @@ DEFENDANT_FIELDS = {"Q6": "multiple_defendants", "Q7": "defendant_name", "Q8": "
                     "Q13": "turnover_mentioned", "Q14": "turnover_range"}
 
 
-def core_table(parsed: DataFrame, fields: dict[str, str], codebook: Codebook | None = None,
-               id_col: str = "ID") -> DataFrame:
-    """One text column and one ``_known`` flag (from the codebook) per field."""
-    codebook = codebook or Codebook.default()
-    columns = []
-    for q, name in fields.items():
-        value = blank_to_empty(_a(q))
-        columns += [value.alias(name), flag((value != "") & codebook.is_known(q, value)).alias(f"{name}_known")]
-    return parsed.select(F.col(id_col).alias("decision_id"), *columns)
-
-
-def decisions(parsed: DataFrame, codebook: Codebook | None = None, id_col: str = "ID") -> DataFrame:
-    return core_table(parsed, DECISION_FIELDS, codebook, id_col)
-
-
-def defendants(parsed: DataFrame, codebook: Codebook | None = None, id_col: str = "ID") -> DataFrame:
-    return core_table(parsed, DEFENDANT_FIELDS, codebook, id_col)
-
-
 # --- conflicts, quality, provenance ------------------------------------------
 CONFLICT_TYPES = {
     "contradiction": (
@@ -183,12 +164,12 @@ CONFLICT_TYPES = {
 }
 
 
-def all_flags(parsed: DataFrame, id_col: str = "ID") -> DataFrame:
-    """Consistency flags plus exclusivity and date anomalies, per decision."""
+def all_flags(parsed: DataFrame, id_col: str = "ID", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Consistency flags plus exclusivity and date anomalies, per decision, with the columns ``keep``."""
     from caseloom.functions.flags import consistency_rules, flag_array
 
     staged = parsed.select(
-        F.col(id_col).alias("decision_id"), "answers", F.col("metadata.completeness").alias("complete"),
+        F.col(id_col).alias("decision_id"), *keep, "answers", F.col("metadata.completeness").alias("complete"),
         clean_number(_a("Q37")).alias("fine"), clean_number(_a("Q38")).alias("turnover"),
         clean_date(_a("Q3"))["status"].alias("date_status"),
         any_conflict(F.col("answers"), _MULTI).alias("mixed"),
@@ -197,7 +178,7 @@ def all_flags(parsed: DataFrame, id_col: str = "ID") -> DataFrame:
         ("exclusivity_conflict", F.col("mixed")),
         ("decision_date_parse_error", F.col("date_status") == "PARSE_ERROR"),
     ]
-    return staged.select("decision_id", "complete", flag_array(rules).alias("flags"))
+    return staged.select("decision_id", *keep, "complete", flag_array(rules).alias("flags"))
 
 
 def conflict_matrix(flags: DataFrame) -> DataFrame:
@@ -235,13 +216,15 @@ def strict(flags: DataFrame, tolerate: tuple[str, ...] = ()) -> DataFrame:
     return flags.filter(F.col("complete") & (F.size(serious) == 0))
 
 
-def with_provenance(df: DataFrame, source_id: Column | str, codebook_version: str, mapping_version: str) -> DataFrame:
+def with_provenance(df: DataFrame, source_id: Column | str, codebook_version: Column | str, mapping_version: str) -> DataFrame:
+    """``codebook_version`` may be the column of :func:`caseloom.operators.codebooks.in_force`."""
     source = F.lit(source_id) if isinstance(source_id, str) else source_id
+    book = F.lit(codebook_version) if isinstance(codebook_version, str) else codebook_version
     return df.withColumns({
         "source_id": source,
         "ingestion_timestamp": F.current_timestamp(),
         "parser_version": F.lit(vocab.PARSER_VERSION),
-        "codebook_version": F.lit(codebook_version),
+        "codebook_version": book,
         "mapping_version": F.lit(mapping_version),
     })
 

@@ -147,6 +147,58 @@ MULTI_SELECT_OPTIONS = {
             "NO_IMPACT_ASSESSMENT", "INADEQUATE_CONTRACTUAL_CLAUSES", "NOT_APPLICABLE"),
 }
 
+# Multi-select questions that no wide or long table takes.
+OTHER_MULTI_SELECT_OPTIONS = {
+    "Q10": ("SME", "LARGE_ENTERPRISE", "MULTINATIONAL", "NON_PROFIT", "PUBLIC_SECTOR_BODY", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q25": ("ARTICLE_9_SPECIAL_CATEGORY", "ARTICLE_10_CRIMINAL", "NEITHER", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q28": ("IMMEDIATE_CONTAINMENT", "SYSTEM_FIXES", "SECURITY_IMPROVEMENTS", "STAFF_TRAINING", "EXTERNAL_AUDIT", "LEGAL_ADVICE",
+            "COOPERATION_WITH_DPA", "NONE_MENTIONED", "NOT_APPLICABLE", "UNCLEAR"),
+}
+
+# --- single-choice vocabularies (fixed values; Q35 stands above) --------------
+ENUM_OPTIONS = {
+    "Q4": ("YES", "NO", "UNCLEAR", "NOT_DISCUSSED"),
+    "Q5": ("UPHELD", "OVERTURNED", "MODIFIED", "REFERRED_BACK", "NOT_APPLICABLE", "NOT_DISCUSSED"),
+    "Q6": ("YES", "NO"),
+    "Q8": ("ORGANIZATION", "NATURAL_PERSON", "NOT_MENTIONED", "UNCLEAR"),
+    "Q9": ("CONTROLLER", "PROCESSOR", "JOINT_CONTROLLER", "BOTH_CONTROLLER_AND_PROCESSOR", "NOT_MENTIONED", "UNCLEAR"),
+    "Q11": ("LOCAL_MUNICIPAL", "REGIONAL_PROVINCIAL", "NATIONAL_FEDERAL", "SUPRANATIONAL", "NOT_APPLICABLE", "UNCLEAR"),
+    "Q13": ("YES", "NO", "UNCLEAR"),
+    "Q14": ("UNDER_2M", "2M_TO_10M", "10M_TO_50M", "50M_TO_250M", "250M_TO_1B", "OVER_1B", "NOT_APPLICABLE", "FIGURE_UNCLEAR"),
+    "Q15": ("COMPLAINT", "BREACH_NOTIFICATION", "EX_OFFICIO_DPA_INITIATIVE", "REFERRAL_FROM_OTHER_AUTHORITY", "MEDIA_PUBLIC_ATTENTION",
+            "JOINT_INVESTIGATION", "FOLLOW_UP_PRIOR_CASE", "OTHER", "NOT_MENTIONED", "UNCLEAR"),
+    "Q16": ("YES", "NO", "UNCLEAR"),
+    "Q17": ("YES_REQUIRED", "NO_NOT_REQUIRED", "DEFENDANT_DISPUTED_REQUIREMENT", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q18": ("YES_SUBMITTED", "NO_NOT_SUBMITTED", "PARTIALLY_SUBMITTED", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q19": ("YES_WITHIN_72H", "NO_LATE", "TIMING_DISPUTED", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q20": ("1_TO_7_DAYS", "1_TO_4_WEEKS", "1_TO_6_MONTHS", "OVER_6_MONTHS", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q22": ("INTERNAL_CAUSE", "EXTERNAL_CAUSE", "MIXED_CAUSES", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q23": ("YES_MATERIALIZED", "NO_RISK_ONLY", "MIXED_SOME_HARM", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q24": ("UNDER_100", "100_TO_1000", "1000_TO_10000", "10000_TO_100000", "OVER_100000", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q26": ("YES_NOTIFIED", "NO_NOT_NOTIFIED", "PARTIALLY_NOTIFIED", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q27": ("YES_REQUIRED", "NO_NOT_REQUIRED", "DISPUTED_REQUIREMENT", "NOT_APPLICABLE", "NOT_MENTIONED", "UNCLEAR"),
+    "Q29": ("YES_AGGRAVATING_FACTOR", "YES_MITIGATING_FACTOR", "MENTIONED_NO_CLEAR_IMPACT", "NOT_MENTIONED", "NO_FINE_IMPOSED", "NOT_APPLICABLE"),
+    "Q39": ("HIT_4PCT_TURNOVER_CAP", "HIT_20M_ADMIN_CAP", "HIT_10M_ADMIN_CAP", "BELOW_ALL_CAPS", "NOT_APPLICABLE"),
+    "Q40": ("DAYS", "WEEKS", "MONTHS", "YEARS", "ONGOING", "NOT_SPECIFIED"),
+    "Q43": ("YES_MATERIAL_HARM", "YES_NON_MATERIAL_HARM", "YES_BOTH_TYPES", "NO_HARM_DOCUMENTED", "NOT_DISCUSSED"),
+    "Q44": ("YES_QUANTIFIED", "YES_MENTIONED_UNQUANTIFIED", "NO_BENEFIT", "NOT_DISCUSSED"),
+    "Q45": ("FULL_COOPERATION", "PARTIAL_COOPERATION", "NON_COOPERATIVE", "OBSTRUCTIVE", "NOT_DISCUSSED"),
+    "Q48": ("YES_FIRST_TIME", "NO_REPEAT_OFFENDER", "UNCLEAR", "NOT_DISCUSSED"),
+    "Q49": ("YES_LEAD_AUTHORITY_CASE", "YES_MULTIPLE_DPAS_INVOLVED", "NO_SINGLE_JURISDICTION", "NOT_DISCUSSED"),
+    "Q51": ("ABILITY_TO_PAY_CONSIDERED_REDUCING", "ABILITY_TO_PAY_NOT_AFFECTING", "SME_CONSIDERATION_APPLIED", "FINANCIAL_DISTRESS_NOTED",
+            "NOT_DISCUSSED"),
+    "Q55": ("IMMEDIATE", "WITHIN_MONTH", "1_TO_6_MONTHS", "OVER_6_MONTHS", "NO_DEADLINE_SPECIFIED", "NOT_APPLICABLE"),
+    "Q60": ("YES_REQUIRED_AND_APPOINTED", "YES_REQUIRED_NOT_APPOINTED", "YES_VOLUNTARY_APPOINTMENT", "NO_REQUIREMENT", "NOT_DISCUSSED"),
+    "Q62": ("SINGLE_JURISDICTION_DOMESTIC", "LEAD_SUPERVISORY_AUTHORITY_CASE", "CONCERNED_AUTHORITY_CASE", "JOINT_INVESTIGATION",
+            "NON_EU_ENTITY_INVOLVED", "UNCLEAR"),
+    "Q63": ("YES_VIOLATIONS_FOUND", "YES_COMPLIANT_TRANSFERS", "YES_MENTIONED_NO_ASSESSMENT", "NOT_DISCUSSED"),
+    "Q65": ("YES_SIGNIFICANT_PRECEDENT", "YES_CLARIFIES_EXISTING_LAW", "ROUTINE_APPLICATION", "UNCLEAR"),
+    "Q66": ("YES_EXTENSIVE_REFERENCES", "YES_SOME_REFERENCES", "NO_REFERENCES", "UNCLEAR"),
+}
+# Questions without options, by kind.
+OPEN_QUESTIONS = {"Q1": "RAW", "Q2": "TYPE", "Q3": "FORMAT", "Q7": "TYPE", "Q12": "TYPE", "Q36": "TYPE", "Q37": "TYPE", "Q38": "TYPE",
+                  "Q52": "TYPE", "Q67": "TYPE", "Q68": "TYPE"}
+
 # --- ordinal scales and imputation ------------------------------------------
 ORDINALS = {
     "Q40": {"DAYS": 1, "WEEKS": 2, "MONTHS": 3, "YEARS": 4, "ONGOING": 5},

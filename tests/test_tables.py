@@ -220,7 +220,7 @@ def test_matrices_and_profiles(spark):
     assert pairs == {("SECURITY", "SECURITY"): 1, ("ACCURACY", "SECURITY"): 1}
     m = matrices.option_matrix(rows, questions=["Q30"]).orderBy("decision_id").collect()
     assert [r.Q30_SECURITY for r in m] == [1, 0, 0] and len(m[0]) == 9
-    p = {(r.question, r.status): r.n for r in matrices.missingness_profile(matrices.missingness(rows)).collect()}
+    p = {(r.question, r.status): r.n for r in matrices.missingness_profile(matrices.missingness_cells(rows)).collect()}
     assert p[("Q30", "DISCUSSED")] == 2 and p[("Q68", "NOT_MENTIONED")] == 3
     prof = {r.column_name: r for r in frequency.column_profile(spark.createDataFrame([("a", 1), ("", 2)], "s string, n int")).collect()}
     assert prof["s"].filled_rows == 1 and prof["n"].max_value == "2" and prof["n"].approx_distinct == 2

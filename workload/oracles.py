@@ -321,10 +321,12 @@ def sector_cols(source: str, code: str) -> str:
 ORACLES["j2_sector_lookup"] = answers_cte(12, extra=f"{_SECTORS}, z AS (SELECT id, coalesce(q12, '') AS c12 FROM ans), {sector_cols('z', 's.c12')}") + (
     " SELECT sid AS ID, isic_code, isic_desc, isic_section FROM sec"
 )
-_book = ", ".join(f"('{q}', '{t}')" for q, v in vocab.MULTI_SELECT_OPTIONS.items() for t in v)
+_OPTIONS = vocab.MULTI_SELECT_OPTIONS | vocab.OTHER_MULTI_SELECT_OPTIONS | vocab.ENUM_OPTIONS
+_OQ = sorted(int(q[1:]) for q in _OPTIONS)
+_book = ", ".join(f"('{q}', '{t}')" for q, v in _OPTIONS.items() for t in v)
 _EXPL = f"e AS (SELECT id, question, unnest({toks('a')}) AS token FROM u), book(question, token) AS (VALUES {_book})"
-ORACLES["j1_validate_tokens"] = answers_cte(*_WQ, 28, extra=long_answers([*_WQ, 28]) + ", " + _EXPL) + (
-    " SELECT question, token, CASE WHEN question = 'Q28' OR EXISTS (SELECT 1 FROM book b WHERE b.question = e.question AND b.token = e.token)"
+ORACLES["j1_validate_tokens"] = answers_cte(*_OQ, extra=long_answers(_OQ) + ", " + _EXPL) + (
+    " SELECT question, token, CASE WHEN EXISTS (SELECT 1 FROM book b WHERE b.question = e.question AND b.token = e.token)"
     " THEN 'KNOWN' ELSE 'UNKNOWN' END AS token_status, count(*) AS n FROM e GROUP BY 1, 2, 3"
 )
 ORACLES["j1_known_and_unknown"] = answers_cte(*_WQ, extra=long_answers(_WQ) + ", " + _EXPL) + (
@@ -451,12 +453,13 @@ ORACLES["r3_running_counts"] = (
 )
 
 # --- specified analyses ------------------------------------------------------
-_XQ = ("Q30", "Q31", "Q53", "Q57")
-ORACLES["x1_option_matrix"] = answers_cte(30, 31, 53, 57, extra=f"m AS (SELECT id, {_T(30, 31, 53, 57)} FROM ans)") + (
+#: The questions of several choices.
+_multi = {f"Q{i}" for i in (10, 21, 25, 28, 30, 31, 32, 33, 34, 41, 42, 46, 47, 50, 53, 54, 56, 57, 58, 59, 61, 64)}
+_mq = sorted(int(q[1:]) for q in _multi)
+ORACLES["x1_option_matrix"] = answers_cte(*_mq, extra=f"m AS (SELECT id, {_T(*_mq)} FROM ans)") + (
     " SELECT id AS decision_id, " + ", ".join(
-        f"CAST(list_contains(t{q[1:]}, '{o}') AS INTEGER) AS {q}_{o}" for q in _XQ for o in vocab.MULTI_SELECT_OPTIONS[q]) + " FROM m"
+        f"CAST(list_contains(t{i}, '{o}') AS INTEGER) AS Q{i}_{o}" for i in _mq for o in _OPTIONS[f"Q{i}"]) + " FROM m"
 )
-_multi = set(vocab.MULTI_SELECT_OPTIONS) - {"Q35"}
 
 
 def plain_status(a: str) -> str:
@@ -469,16 +472,20 @@ def _status_select(i: int) -> str:
     if q in ("Q3", "Q37", "Q38"):
         s = {"Q3": "dstatus", "Q37": "f_status", "Q38": "t_status"}[q]
     elif q in _multi:
-        s = ms_status(repr(q), f"t{i}")
+        t = f"t{i}"
+        s = (f"CASE WHEN len({t}) > 0 AND len({without(t, vocab.ABSENCE_TOKENS)}) = 0 AND ({ms_status(repr(q), t)}) = 'DISCUSSED'"
+             f" THEN {t}[1] ELSE {ms_status(repr(q), t)} END")
     else:
         s = plain_status(f"q{i}")
-    return f"SELECT '{q}' AS question, {s} AS status FROM m"
+    return s
 
 
-_mq = sorted(int(q[1:]) for q in _multi)
-ORACLES["x2_missingness_profile"] = answers_cte(*_all, extra=(
+_STATES = answers_cte(*_all, extra=(
     date_steps("ans") + ", " + number_steps("dates", "nums", f="q37", t="q38") + f", m AS (SELECT *, {_T(*_mq)} FROM nums)"
-)) + ", u AS (" + " UNION ALL ".join(_status_select(i) for i in _all) + ") SELECT question, status, count(*) AS n FROM u GROUP BY 1, 2"
+))
+ORACLES["x2_missingness_profile"] = _STATES + ", u AS (" + " UNION ALL ".join(
+    f"SELECT 'Q{i}' AS question, {_status_select(i)} AS status FROM m" for i in _all) + ") SELECT question, status, count(*) AS n FROM u GROUP BY 1, 2"
+ORACLES["x2_missingness_table"] = _STATES + " SELECT id AS decision_id, " + ", ".join(f"{_status_select(i)} AS Q{i}_status" for i in _all) + " FROM m"
 ORACLES["x3_date_features"] = answers_cte(3, extra=date_steps("ans")) + (
     " SELECT id AS decision_id, CAST(dval AS STRING) AS decision_date, CAST(coalesce(year(dval) >= 1995, false) AS INTEGER) AS date_plausible,"
     " CAST(weekofyear(dval) AS INTEGER) AS iso_week, CAST((year(dval) - 1995) * 12 + month(dval) - 1 AS INTEGER) AS month_index,"
@@ -668,22 +675,44 @@ ORACLES["x18_guidelines"] = answers_cte(67, extra="g AS (SELECT id, regexp_extra
 )
 
 
+# A version holds from its date; the second lacks the first option of every third question and has one more in the next.
+_TIME = "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(k % 700 AS INTEGER)) + to_hours(CAST(k % 24 AS INTEGER))"
+_VERSION = f"CASE WHEN {_TIME} < TIMESTAMP '2024-01-11 00:00:00' THEN NULL WHEN {_TIME} < TIMESTAMP '2025-01-01 06:00:00' THEN 'v1' ELSE 'v2' END"
+_LATER = {q: (v[1:] if int(q[1:]) % 3 == 0 else (*v, "ADDED_LATER") if int(q[1:]) % 3 == 1 else v) for q, v in _OPTIONS.items()}
+
+
 def core_sql(fields: dict[str, str]) -> str:
     cols = []
     for q, name in fields.items():
         v = raw(f"q{q[1:]}")
-        ok = f"{v} IN ({names(vocab.MULTI_SELECT_OPTIONS[q])})" if q in vocab.MULTI_SELECT_OPTIONS else "true"
-        cols.append(f"{v} AS {name}, CAST({v} <> '' AND {ok} AS INTEGER) AS {name}_known")
-    return answers_cte(*[int(q[1:]) for q in fields]) + " SELECT id AS decision_id, " + ", ".join(cols) + " FROM ans"
+        if q not in _OPTIONS:
+            ok = "ver IS NOT NULL"
+        elif q in _multi:
+            p = pieces(f"q{q[1:]}")
+            ok = " OR ".join(f"(ver = '{x}' AND len({p}) > 0 AND len({without(p, o[q])}) = 0)" for x, o in (("v1", _OPTIONS), ("v2", _LATER)))
+        else:
+            ok = " OR ".join(f"(ver = '{x}' AND {v} IN ({names(o[q])}))" for x, o in (("v1", _OPTIONS), ("v2", _LATER)))
+        cols.append(f"{v} AS {name}, CAST({v} <> '' AND coalesce({ok}, false) AS INTEGER) AS {name}_known")
+    return answers_cte(*[int(q[1:]) for q in fields], extra=f"w AS (SELECT *, {_VERSION} AS ver FROM ans)") + (
+        " SELECT id AS decision_id, ver AS codebook_version, " + ", ".join(cols) + " FROM w"
+    )
 
 
 ORACLES["x20_decisions"] = core_sql(dv.DECISION_FIELDS)
 ORACLES["x20_defendants"] = core_sql(dv.DEFENDANT_FIELDS)
+_dated_book = ", ".join(f"('{x}', '{q}', '{t}')" for x, o in (("v1", _OPTIONS), ("v2", _LATER)) for q, v in o.items() for t in v)
+ORACLES["s4_codebook_in_force"] = answers_cte(*_OQ, extra=long_answers(_OQ) + (
+    f", w AS (SELECT id, {_VERSION} AS ver FROM ans), e AS (SELECT w.ver, question, unnest({toks('a')}) AS token FROM u JOIN w ON w.id = u.id),"
+    f" book(ver, question, token) AS (VALUES {_dated_book})"
+)) + (
+    " SELECT e.ver AS codebook_version, e.question, count(*) AS n_tokens, count(b.token) AS n_known FROM e"
+    " LEFT JOIN book b ON b.ver = e.ver AND b.question = e.question AND b.token = e.token GROUP BY 1, 2"
+)
 _prof = ["ID", "q1", "q3", "q5", "q12", "q16", "q37", "q62"]
 ORACLES["x21_column_profile"] = answers_cte(1, 3, 5, 12, 16, 37, 62) + ", u AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, nullif({c}, '') AS v FROM ans" for c in _prof
 ) + ") SELECT column_name, count(*) AS total_rows, count(v) AS filled_rows, min(v) AS min_value, max(v) AS max_value FROM u GROUP BY 1"
-ORACLES["x22_harmonized_tokens"] = answers_cte(30, 35, 53, extra=long_answers([30, 35, 53]) + (
+ORACLES["x22_harmonized_tokens"] = answers_cte(*_OQ, extra=long_answers(_OQ) + (
     f", t AS (SELECT question, {toks('a')} AS ts FROM u), e AS (SELECT question, unnest(ts) AS v, unnest(range(len(ts))) AS i FROM t),"
     " r AS (SELECT question, CASE WHEN i % 2 = 1 THEN lower(replace(v, '_', '-')) ELSE v END AS raw_token FROM e),"
     f" h AS (SELECT question, raw_token, upper(regexp_replace(raw_token, '[\\s-]+', '_', 'g')) AS token FROM r WHERE NOT starts_with(raw_token, 'FORMAT:')), book(question, token) AS (VALUES {_book})"
@@ -693,7 +722,8 @@ ORACLES["x22_harmonized_tokens"] = answers_cte(30, 35, 53, extra=long_answers([3
 )
 ORACLES["x23_quality"] = _FLAGS + (
     " SELECT decision_id, round(greatest(1 - 0.1 * len(flags) - CASE WHEN complete = 1 THEN 0 ELSE 0.2 END, 0.0)::DOUBLE, 6) AS quality_score,"
-    " 'orders' AS source_id, '1.1.0' AS parser_version, '1' AS codebook_version, '1' AS mapping_version FROM fl"
+    f" 'orders' AS source_id, '1.1.0' AS parser_version, (SELECT {_VERSION} FROM (SELECT CAST(substring(decision_id, 2) AS BIGINT) AS k)) AS codebook_version,"
+    " '1' AS mapping_version FROM fl"
 )
 ORACLES["x23_strict_mode"] = _FLAGS + f" SELECT decision_id FROM fl WHERE complete = 1 AND len({without('flags', TOLERATED)}) = 0"
 ORACLES["x24_validation_summary"] = _FLAGS + (

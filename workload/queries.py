@@ -13,7 +13,7 @@ from caseloom.functions import tokens as tk
 from caseloom.functions import typed as ty
 from caseloom.functions.text import language_guess, normalize_text, token_count
 from caseloom.operators import (
-    authorities, checks, corpus, derived, enrich, frequency, graph, long, matrices, model, parse, qa, retrieval, tokens, wide,
+    authorities, checks, codebooks, corpus, derived, enrich, frequency, graph, long, matrices, model, parse, qa, retrieval, tokens, wide,
 )
 from caseloom.plans.run import parse_block_files, run_all
 from caseloom.sources import blocks, readers, sinks
@@ -254,12 +254,19 @@ def j2_sector_lookup(spark, sf_dir):
     return enrich.sector_lookup(rows, sectors(spark, sf_dir), "sector")
 
 
+OPTION_QUESTIONS = sorted(BOOK.options, key=lambda q: int(q[1:]))
+
+
+def token_counts(rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct tokens with their counts: what is joined with a vocabulary is then no larger than it is varied."""
+    return rows.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 @query
 def j1_validate_tokens(spark, sf_dir):
-    qs = [q for q, _ in vocab.WIDE_FIELDS] + ["Q28"]
-    rows = tokens.question_tokens(parsed(spark, sf_dir), qs)
-    checked = tokens.validate_tokens_long(rows, BOOK.to_frame(spark))
-    return checked.groupBy("question", "token", "token_status").agg(F.count("*").alias("n"))
+    """All questions with options."""
+    rows = token_counts(tokens.question_tokens(parsed(spark, sf_dir), OPTION_QUESTIONS), "question", "token")
+    return tokens.validate_tokens_long(rows, BOOK.to_frame(spark)).select("question", "token", "token_status", "n")
 
 
 @query
@@ -401,12 +408,17 @@ def r3_running_counts(spark, sf_dir):
 # --- specified analyses ------------------------------------------------------
 @query
 def x1_option_matrix(spark, sf_dir):
-    return matrices.option_matrix(parsed(spark, sf_dir), BOOK, ["Q30", "Q31", "Q53", "Q57"])
+    return matrices.option_matrix(parsed(spark, sf_dir), BOOK)
 
 
 @query
 def x2_missingness_profile(spark, sf_dir):
-    return matrices.missingness_profile(matrices.missingness(parsed(spark, sf_dir), BOOK))
+    return matrices.missingness_profile(matrices.missingness_cells(parsed(spark, sf_dir), BOOK))
+
+
+@query
+def x2_missingness_table(spark, sf_dir):
+    return matrices.missingness(parsed(spark, sf_dir), BOOK)
 
 
 @query
@@ -591,14 +603,53 @@ def x19_logistic_scores(spark, sf_dir):
     return scored.select("decision_id", "label", F.round("probability", 3).alias("probability"))
 
 
+#: Two questionnaires and when each began to hold; the second drops and adds options by the number of a question.
+BOOK_DATES = {"v1": "2024-01-11 00:00:00", "v2": "2025-01-01 06:00:00"}
+
+
+def book_options(question: str, version: str) -> list[str]:
+    listed, n = list(BOOK.allowed(question)), int(question[1:])
+    if version == "v2":
+        listed = listed[1:] if n % 3 == 0 else [*listed, "ADDED_LATER"] if n % 3 == 1 else listed
+    return listed
+
+
+def questionnaire(spark, version: str) -> DataFrame:
+    """The codebook of a version, written as the Markdown questionnaire and read back."""
+    text = ["# Questionnaire", ""]
+    for n in range(1, vocab.EXPECTED_QUESTIONS + 1):
+        q = f"Q{n}"
+        kind = BOOK.kinds[q]
+        spec = f"{kind}:{','.join(book_options(q, version))}" if q in BOOK.options else "ISO_3166-1_ALPHA-2: AT,BE" if kind == "RAW" else f"{kind}:STRING"
+        text += [f"**Question {n}:** ?", f"**Answer {n}:** {spec}", ""]
+    path = scratch(spark, "questionnaire")
+    spark.createDataFrame([("\n".join([*text, "# End"]),)], "value string").coalesce(1).write.text(path)
+    return readers.read_codebook_prompt(spark, path)
+
+
+def dated(spark, sf_dir) -> DataFrame:
+    """Decisions with an ingestion time and the codebook in force at it."""
+    k = F.substring("ID", 2, 20).cast("long")
+    rows = parsed(spark, sf_dir).withColumn("k", k).withColumn(
+        "ingested", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(CAST(k % 700 AS INT), CAST(k % 24 AS INT))")).drop("k")
+    books = codebooks.versions({v: (since, questionnaire(spark, v)) for v, since in BOOK_DATES.items()})
+    return codebooks.in_force(rows, books, "ingested")
+
+
+@query
+def s4_codebook_in_force(spark, sf_dir):
+    """Tokens of all questions with options, judged by the questionnaire read for the decision's time."""
+    return codebooks.validity(dated(spark, sf_dir), OPTION_QUESTIONS)
+
+
 @query
 def x20_decisions(spark, sf_dir):
-    return derived.decisions(parsed(spark, sf_dir), BOOK)
+    return codebooks.core_table(dated(spark, sf_dir), derived.DECISION_FIELDS)
 
 
 @query
 def x20_defendants(spark, sf_dir):
-    return derived.defendants(parsed(spark, sf_dir), BOOK)
+    return codebooks.core_table(dated(spark, sf_dir), derived.DEFENDANT_FIELDS)
 
 
 @query
@@ -609,16 +660,18 @@ def x21_column_profile(spark, sf_dir):
 
 @query
 def x22_harmonized_tokens(spark, sf_dir):
-    rows = tokens.question_tokens(parsed(spark, sf_dir), ["Q30", "Q35", "Q53"])
+    """All questions with options; every second token in lower case with hyphens."""
+    rows = tokens.question_tokens(parsed(spark, sf_dir), OPTION_QUESTIONS)
     mixed = rows.withColumn("token", F.when(F.col("position") % 2 == 1, F.lower(F.replace("token", F.lit("_"), F.lit("-")))).otherwise(F.col("token")))
-    checked = tokens.harmonized_tokens(mixed, BOOK.to_frame(spark))
-    return checked.groupBy("question", "raw_token", "token", "validation_error").agg(F.count("*").alias("n"))
+    checked = tokens.harmonized_tokens(token_counts(mixed, "question", "token"), BOOK.to_frame(spark))
+    return checked.select("question", "raw_token", "token", "validation_error", "n")
 
 
 @query
 def x23_quality(spark, sf_dir):
-    flags = derived.all_flags(parsed(spark, sf_dir))
-    scored = derived.with_provenance(derived.quality_score(flags), "orders", "1", "1")
+    rows = dated(spark, sf_dir)
+    flags = derived.all_flags(rows, keep=("codebook_version",))
+    scored = derived.with_provenance(derived.quality_score(flags), "orders", F.col("codebook_version"), "1")
     return scored.select("decision_id", "quality_score", "source_id", "parser_version", "codebook_version", "mapping_version")
 
 
