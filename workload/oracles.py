@@ -617,16 +617,34 @@ for _name, _d, _v, _options in (("principle", 30, 31, vocab.PRINCIPLES), ("right
                           for s in ("NOT_MENTIONED", "NOT_DETERMINED", "NONE_VIOLATED", "NONE_DISCUSSED")]
 _among = lambda t, vs: f"CAST(len(list_distinct(list_filter({t}, lambda v: v IN ({names(vs)})))) AS INTEGER)"
 _yes = lambda q, v: f"CAST(coalesce(q{q}, '') = '{v}' AS INTEGER)"
-ORACLES["x14_model_features"] = answers_cte(9, 16, 30, 31, 37, 38, 41, 42, 53, 56, 57, 60, 63, extra=(
-    number_steps("ans", "nums", f="q37", t="q38") + f", m AS (SELECT *, {_T(30, 31, 41, 42, 53, 56, 57)} FROM nums)"
-)) + (
+_CHOSEN = (("size", 10), ("breach_type", 21), ("data_category", 25), ("aggravating", 41), ("mitigating", 42), ("role", 9), ("breach_cause", 22), ("subjects", 24),
+           ("harm", 43), ("benefit", 44), ("first_time", 48), ("cross_border", 49), ("transfers", 63))
+_FEATURES = answers_cte(*sorted({9, 12, 16, 30, 31, 37, 38, 53, 56, 57, 60, 63} | {i for _, i in _CHOSEN}), extra=(
+    number_steps("ans", "nums", f="q37", t="q38") + f", m AS (SELECT *, {_T(*sorted({30, 31, 53, 56, 57} | {i for _, i in _CHOSEN}))} FROM nums)"
+))
+ORACLES["x14_model_features"] = _FEATURES + (
     " SELECT id AS decision_id, CAST(list_contains(t53, 'ADMINISTRATIVE_FINE') AS INTEGER) AS admin_fine, CAST(coalesce(f_val, 0) > 0 AS INTEGER) AS fine_positive,"
+    " CAST(len(list_filter(t53, lambda v: v IN ('LIMITATION_PROHIBITION_OF_PROCESSING', 'SUSPENSION_DATA_FLOWS'))) > 0 AS INTEGER) AS limitation_imposed,"
+    f" CAST(len(list_distinct(list_filter(t53, lambda v: v IN ({names(vocab.SEVERITY_MEASURES)})))) AS INTEGER) AS severity_composite,"
+    " regexp_extract(coalesce(q12, ''), '^([0-9]{2})', 1) AS sector_division,"
     " round(ln(1 + f_val), 6) AS fine_log1p, round(coalesce(ln(1 + t_val), 0), 6) AS turnover_log1p, CAST(t_val IS NULL AS INTEGER) AS turnover_missing,"
     f" {_among('t30', vocab.PRINCIPLES)} AS n_principles_discussed, {_among('t31', vocab.PRINCIPLES)} AS n_principles_violated,"
     f" CAST(len({without('t53', ['NONE', 'ADMINISTRATIVE_FINE'])}) AS INTEGER) AS n_other_measures,"
     f" CAST(len(list_distinct({without('t41', ['NONE'])})) AS INTEGER) AS n_aggravating, CAST(len(list_distinct({without('t42', ['NONE'])})) AS INTEGER) AS n_mitigating,"
     f" {_yes(16, 'YES')} AS breach_case, {_yes(9, 'PROCESSOR')} AS is_processor, {_yes(60, 'YES_REQUIRED_NOT_APPOINTED')} AS dpo_noncompliant,"
-    f" {_yes(63, 'YES_VIOLATIONS_FOUND')} AS transfer_violations, " + ", ".join(_feature_cols) + " FROM m"
+    f" {_yes(63, 'YES_VIOLATIONS_FOUND')} AS transfer_violations, " + ", ".join(_feature_cols + [
+        f"CAST(list_contains(t{i}, '{o}') AS INTEGER) AS {p}_{o}" for p, i in _CHOSEN for o in _OPTIONS[f"Q{i}"]]) + " FROM m"
+)
+ORACLES["x19_fit_proof"] = _FEATURES + (
+    " SELECT count(*) AS n_rows, CAST(sum(CAST(list_contains(t53, 'ADMINISTRATIVE_FINE') AS INTEGER)) AS BIGINT) AS n_positive, true AS at_optimum FROM m"
+)
+ORACLES["x19_exact_auc"] = _FEATURES + (
+    f", f AS (SELECT CAST(list_contains(t53, 'ADMINISTRATIVE_FINE') AS INTEGER) AS y, {_among('t31', vocab.PRINCIPLES)} * 3 + len(list_distinct({without('t41', ['NONE'])}))"
+    f" - len(list_distinct({without('t42', ['NONE'])})) + CAST(t_val IS NULL AS INTEGER) * 0.5 AS s FROM m),"
+    " r AS (SELECT y, s, 2 * rank() OVER (ORDER BY s) + count(*) OVER (PARTITION BY s) - 1 AS rank2 FROM f),"
+    " g AS (SELECT sum(y) AS p, sum(1 - y) AS n, count(DISTINCT s) AS k, sum(CASE WHEN y = 1 THEN rank2 END) AS ranks2 FROM r)"
+    " SELECT CAST(p AS BIGINT) AS n_positive, CAST(n AS BIGINT) AS n_negative, k AS n_scores, CAST(ranks2 - p * (p + 1) AS BIGINT) AS wins2,"
+    " round((ranks2 - p * (p + 1)) / 2.0 / (p * n), 6) AS auc FROM g"
 )
 _roles3 = {"LEAD_SUPERVISORY_AUTHORITY_CASE": "leads", "CONCERNED_AUTHORITY_CASE": "concerned_by", "JOINT_INVESTIGATION": "joins"}
 _tok_edges = " UNION ALL ".join(
@@ -649,6 +667,25 @@ ORACLES["x15_degrees"] = _EDGES + (
     " SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM n WHERE NOT starts_with(node, 'decision:') GROUP BY 1"
 )
 ORACLES["x15_cross_border"] = _EDGES + f" SELECT src, rel, count(*) AS decisions FROM edges WHERE rel IN ({names(_roles3.values())}) GROUP BY 1, 2"
+_CASES = _EDGES + (
+    f", cases AS MATERIALIZED (SELECT DISTINCT dst AS decision, src AS party FROM edges WHERE rel IN ({names(_roles3.values())})),"
+    " ties AS MATERIALIZED (SELECT * FROM cases UNION SELECT src, dst FROM edges WHERE rel = 'involves' AND src IN (SELECT decision FROM cases))"
+)
+# Labels fall to the least label of a neighbour, round after round; each round then takes the label of the label.
+_ROUNDS = 10
+_labels = ", l0 AS MATERIALIZED (SELECT DISTINCT decision AS node, decision AS label FROM ties UNION SELECT DISTINCT party, party FROM ties)"
+for _i in range(_ROUNDS):
+    _labels += (
+        f", n{_i} AS MATERIALIZED (SELECT node, min(label) AS label FROM (SELECT * FROM l{_i} UNION ALL SELECT t.party, l.label FROM ties t JOIN l{_i} l ON l.node = t.decision"
+        f" UNION ALL SELECT t.decision, l.label FROM ties t JOIN l{_i} l ON l.node = t.party) GROUP BY node),"
+        f" l{_i + 1} AS MATERIALIZED (SELECT a.node, b.label FROM n{_i} a JOIN n{_i} b ON b.node = a.label)"
+    )
+ORACLES["x15_case_groups"] = _CASES + _labels + (
+    f" SELECT node AS decision, label AS case_group FROM l{_ROUNDS} WHERE starts_with(node, 'decision:')"
+)
+ORACLES["x15_case_links"] = _CASES + (
+    " SELECT decision, min(decision) OVER (PARTITION BY party) AS first_decision, party FROM ties QUALIFY decision <> first_decision"
+)
 ORACLES["x16_text_summaries"] = answers_cte(*_TEXTS, extra=long_answers(_TEXTS) + f", z AS (SELECT id, question, {norm('a')} AS t FROM u WHERE a IS NOT NULL)") + (
     f" SELECT id AS decision_id, question, md5(t) AS digest, {text_facts('t', 'token_count', 'language')} FROM z"
 )

@@ -572,6 +572,16 @@ def x15_cross_border(spark, sf_dir):
     return graph.shared_case_roles(graph.entity_edges(parsed(spark, sf_dir), BOOK))
 
 
+@query
+def x15_case_groups(spark, sf_dir):
+    return graph.case_groups(graph.entity_edges(parsed(spark, sf_dir), BOOK))
+
+
+@query
+def x15_case_links(spark, sf_dir):
+    return graph.case_links(graph.entity_edges(parsed(spark, sf_dir), BOOK))
+
+
 @query
 def x16_text_summaries(spark, sf_dir):
     return retrieval.text_summaries(parsed(spark, sf_dir)).select(
@@ -598,11 +608,28 @@ def x18_guidelines(spark, sf_dir):
 
 @query
 def x19_logistic_scores(spark, sf_dir):
-    cols = ["turnover_log1p", "n_principles_violated", "n_principles_discussed", "breach_case", "n_other_measures"]
-    scored = model.score_logistic(model.model_features(parsed(spark, sf_dir)), "admin_fine", cols)
+    scored = model.score_logistic(model.model_features(parsed(spark, sf_dir)), "admin_fine", PREDICTORS)
     return scored.select("decision_id", "label", F.round("probability", 3).alias("probability"))
 
 
+PREDICTORS = ["turnover_log1p", "n_principles_violated", "n_principles_discussed", "breach_case", "n_other_measures",
+              "aggravating_INTENT_NEGLIGENCE", "mitigating_COOPERATION_WITH_AUTHORITY", "harm_YES_MATERIAL_HARM", "cross_border_NO_SINGLE_JURISDICTION"]
+
+
+@query
+def x19_fit_proof(spark, sf_dir):
+    """All predictors that do not leak; the gradient itself is no whole number to compare."""
+    return model.fit_proof(model.model_features(parsed(spark, sf_dir))).drop("gradient")
+
+
+@query
+def x19_exact_auc(spark, sf_dir):
+    """How well a sum of simple features ranks fined decisions; ties are many."""
+    rows = model.model_features(parsed(spark, sf_dir)).select(
+        (F.col("n_principles_violated") * 3 + F.col("n_aggravating") - F.col("n_mitigating") + F.col("turnover_missing") * 0.5).alias("score"), "admin_fine")
+    return model.exact_auc(rows, "score", "admin_fine").withColumns({"wins2": F.col("wins2").cast("long"), "auc": F.round("auc", 6)})
+
+
 #: Two questionnaires and when each began to hold; the second drops and adds options by the number of a question.
 BOOK_DATES = {"v1": "2024-01-11 00:00:00", "v2": "2025-01-01 06:00:00"}
 
