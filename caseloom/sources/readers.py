@@ -111,3 +111,16 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFr
         F.sha2(F.array_join("p", "/"), 256).alias("doc_id"), F.col("p")[0].alias("body_type"),
         F.col("p")[1].alias("country"), F.col("p")[2].alias("file_name"), "text",
     )
+
+
+def read_qa_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The QA summary CSV with its JSON columns as a map and an array again."""
+    schema = ("field_prefix string, total_rows long, rows_with_known long, rows_with_unknown long, total_unknown_tokens long,"
+              " status_counts_json string, top_unknown_tokens_json string")
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    top = F.from_json("top_unknown_tokens_json", "array<array<string>>")
+    return rows.select(
+        "field_prefix", "total_rows", "rows_with_known", "rows_with_unknown", "total_unknown_tokens",
+        F.from_json("status_counts_json", "map<string,bigint>").alias("status_counts"),
+        F.transform(top, lambda e: F.struct(e[0].alias("token"), e[1].cast("long").alias("n"))).alias("top_unknown_tokens"),
+    )

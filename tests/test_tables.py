@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from caseloom.codebook import Codebook
-from caseloom.operators import authorities, derived, enrich, frequency, graph, matrices, model, qa, retrieval
+from caseloom.operators import authorities, components, derived, enrich, frequency, graph, matrices, model, qa, retrieval
 from caseloom.operators.checks import check_consistency, consistency_flags
 from caseloom.operators.parse import parse_answers
 from caseloom.operators.wide import WIDE_COLUMNS, clean_wide, validate
@@ -149,6 +149,51 @@ def test_a_heavy_piece_is_split(spark):
     assert authorities.candidates(names, known, 1, heavy=3).select("name").distinct().count() == names.filter("length(plain) <= 4").count()
 
 
+def test_components_equal_union_find(spark):
+    rng = random.Random(11)
+    path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
+    hub = [("a", f"h{i}") for i in range(200)]
+    loose = [(f"x{rng.randrange(80)}", f"x{rng.randrange(80)}") for _ in range(45)]
+    pairs = path + hub + loose + hub[:3] + [("s", "s"), ("t", None), (None, "u")]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a and b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = {r.node: r.component for r in components.components(df, "a", "b").collect()}
+    assert got == {n: find(n) for n in parent}
+    assert components.components(df.limit(0), "a", "b").collect() == []
+
+
+def test_case_links_connect_what_pairs_would(spark):
+    rows = parsed(spark, *[{2: f"A{i % 3}", 7: f"Firm {i % 4}", 62: "JOINT_INVESTIGATION" if i % 5 else "UNCLEAR"} for i in range(40)])
+    edges = graph.entity_edges(rows)
+    groups = {r.decision: r.case_group for r in graph.case_groups(edges).collect()}
+    assert len(groups) == 32 and len(set(groups.values())) == 1
+    linked = components.components(graph.case_links(edges), "decision", "first_decision").select("component").distinct().count()
+    assert linked == 1 and graph.case_links(edges).count() <= 2 * 32
+
+
+def test_auc_counts_every_pair(spark):
+    rng = random.Random(2)
+    for spread in (1, 5, 1000):
+        rows = [(rng.randrange(spread) / 7, rng.randrange(2)) for _ in range(300)]
+        got = model.exact_auc(spark.createDataFrame(rows + [(None, 1)], "s double, y int"), "s", "y", buckets=7).first()
+        pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+        wins2 = sum(2 * (p > n) + (p == n) for p in pos for n in neg)
+        assert (got.n_positive, got.n_negative, int(got.wins2)) == (len(pos), len(neg), wins2)
+        assert abs(got.auc - wins2 / 2 / len(pos) / len(neg)) < 1e-12
+    assert model.exact_auc(spark.createDataFrame([(0.5, 1)], "s double, y int"), "s", "y").first().auc is None
+
+
 def test_qa_summary(spark):
     schema = "q30_discussed_known string, q30_discussed_unknown string, q30_discussed_status string, q31_violated_known string"
     rows = [("A", "x,,y", "DISCUSSED", ""), (" ", "x", "DISCUSSED", ""), ("", " ", " ", ""), (None, None, None, None)]

@@ -437,8 +437,12 @@ ORACLES["v6_run_all"] = (
     f"WITH c AS ({ORACLES['v3_b4_consistency']}), l AS ({ORACLES['v2_a9_a11_long']})"
     " SELECT 'parsed' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'wide', count(*) FROM orders"
     " UNION ALL SELECT 'validation', count(*) FROM orders UNION ALL SELECT 'long', count(*) FROM l"
-    " UNION ALL SELECT 'consistency', count(*) FROM c"
+    f" UNION ALL SELECT 'consistency', count(*) FROM c UNION ALL SELECT 'qa', {len(vocab.WIDE_FIELDS)}"
 )
+ORACLES |= {
+    "v6_k1_wide": ORACLES["v1_a8_wide"], "v6_k2_validation": ORACLES["b5_validation"], "v6_k3_long": ORACLES["v2_a9_a11_long"],
+    "v6_k4_consistency": ORACLES["v3_b4_consistency"], "v6_k5_qa_summary": ORACLES["v4_g1_g4_qa_summary"],
+}
 
 # --- streams -----------------------------------------------------------------
 ORACLES["r1_incremental_parse"] = (
