@@ -227,8 +227,3 @@ def with_provenance(df: DataFrame, source_id: Column | str, codebook_version: Co
         "codebook_version": book,
         "mapping_version": F.lit(mapping_version),
     })
-
-
-def sample_by(df: DataFrame, column: str, fractions: dict, seed: int = 7) -> DataFrame:
-    """Stratified sample for manual review."""
-    return df.sampleBy(column, fractions, seed)

@@ -256,7 +256,6 @@ def test_derived_rows(spark):
     assert (codes.primary, codes.secondary, codes.multi) == ("6201", ["47"], 1)
     assert {"source_id", "codebook_version"} <= set(derived.with_provenance(f, "s", "1", "1").columns)
     assert derived.strict(f).count() == 0
-    assert derived.sample_by(rows.withColumn("g", F.lit("a")), "g", {"a": 1.0}).count() == 1
 
 
 def test_matrices_and_profiles(spark):

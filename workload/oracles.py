@@ -699,6 +699,13 @@ ORACLES["x16_most_similar"] = (
     " SELECT vec_id, round(sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))), 5) AS similarity FROM x JOIN m USING (d)"
     " GROUP BY vec_id ORDER BY sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))) DESC, vec_id LIMIT 10"
 )
+ORACLES["x16_nearest_exact"] = (
+    "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),"
+    " p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),"
+    " r AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM p)"
+    " SELECT query_id, id, round(s, 5) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"
+)
+ORACLES["x16_recall"] = "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0"
 _FQ = sorted({*_CHECKED, 3, *_WQ})
 _more_rules = rules() + [
     ("exclusivity_conflict", "greatest(" + ", ".join(conflict(f"t{i}") for i in _WQ) + ") = 1"),
@@ -766,6 +773,13 @@ ORACLES["x23_quality"] = _FLAGS + (
     f" 'orders' AS source_id, '1.1.0' AS parser_version, (SELECT {_VERSION} FROM (SELECT CAST(substring(decision_id, 2) AS BIGINT) AS k)) AS codebook_version,"
     " '1' AS mapping_version FROM fl"
 )
+ORACLES["x23_review_sample"] = answers_cte(1, 16, extra=_gsteps + (
+    f", s AS (SELECT id AS decision_id, country_group || '/' || coalesce(q16, 'NONE') AS stratum FROM (SELECT id, q16, {_gcols} FROM geo)),"
+    " z AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM s GROUP BY 1),"
+    " q AS (SELECT *, least(200, total) * n // total AS whole, least(200, total) * n % total AS rest FROM z),"
+    " t AS (SELECT stratum, whole + CAST(row_number() OVER (ORDER BY rest DESC, stratum) <= least(200, total) - sum(whole) OVER () AS INTEGER) AS take FROM q),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || decision_id), decision_id) AS k FROM s)"
+)) + " SELECT decision_id, stratum, CAST(k AS INTEGER) AS sample_rank FROM r JOIN t USING (stratum) WHERE k <= take"
 ORACLES["x23_strict_mode"] = _FLAGS + f" SELECT decision_id FROM fl WHERE complete = 1 AND len({without('flags', TOLERATED)}) = 0"
 ORACLES["x24_validation_summary"] = _FLAGS + (
     ", u AS (SELECT unnest(flags) AS flag FROM fl UNION ALL SELECT '(all)' FROM fl UNION ALL SELECT '(complete)' FROM fl WHERE complete = 1)"

@@ -13,7 +13,8 @@ from caseloom.functions import tokens as tk
 from caseloom.functions import typed as ty
 from caseloom.functions.text import language_guess, normalize_text, token_count
 from caseloom.operators import (
-    authorities, checks, codebooks, corpus, derived, enrich, frequency, graph, long, matrices, model, parse, qa, retrieval, tokens, wide,
+    authorities, checks, codebooks, corpus, derived, enrich, frequency, graph, long, matrices, model, neighbours, parse, qa, retrieval, sampling, tokens,
+    wide,
 )
 from caseloom.plans import publish
 from caseloom.plans.run import parse_block_files, read_run, run_all
@@ -635,6 +636,48 @@ def x16_most_similar(spark, sf_dir):
     return top.withColumn("similarity", F.round("similarity", 5))
 
 
+def vectors_of(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+_INDEXES: dict[tuple[str, str], neighbours.Index] = {}
+
+
+def vector_index(spark, sf_dir) -> neighbours.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = neighbours.build_index(vectors_of(spark, sf_dir), "vec_id", "embedding")
+    return _INDEXES[key]
+
+
+@query
+def x16_nearest(spark, sf_dir):
+    """The ten nearest of every vector, by the index; the nearest of all, being itself, left out."""
+    found = neighbours.search(vector_index(spark, sf_dir), vectors_of(spark, sf_dir), 10, "vec_id", "embedding", exclude_self=True)
+    return found.select("query_id", "id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+def stated(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vec_id % 50 = 0")
+
+
+@query
+def x16_nearest_exact(spark, sf_dir):
+    """The vectors with an id divisible by 50, against all rows."""
+    rows = vectors_of(spark, sf_dir)
+    found = neighbours.nearest_exact(rows, stated(rows), 10, "vec_id", "embedding", exclude_self=True)
+    return found.select("query_id", "id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query
+def x16_recall(spark, sf_dir):
+    """Whether the index finds nine in ten of the true neighbours."""
+    rows = vectors_of(spark, sf_dir)
+    exact = neighbours.nearest_exact(rows, stated(rows), 10, "vec_id", "embedding", exclude_self=True)
+    found = neighbours.search(vector_index(spark, sf_dir), stated(rows), 10, "vec_id", "embedding", exclude_self=True)
+    return neighbours.recall(found, exact).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query
 def x17_conflict_matrix(spark, sf_dir):
     return derived.conflict_matrix(derived.all_flags(parsed(spark, sf_dir)))
@@ -741,6 +784,16 @@ def x23_quality(spark, sf_dir):
     return scored.select("decision_id", "quality_score", "source_id", "parser_version", "codebook_version", "mapping_version")
 
 
+@query
+def x23_review_sample(spark, sf_dir):
+    """Two hundred decisions for manual review, in proportion to country group and breach."""
+    c = ty.clean_country(answers("Q1"))
+    rows = parsed(spark, sf_dir).select(F.col("ID").alias("decision_id"), c.alias("c"), F.coalesce(answers("Q16"), F.lit("NONE")).alias("breach"))
+    strata = rows.select("decision_id", *ty.country_columns(F.col("c")), "breach").select(
+        "decision_id", F.concat_ws("/", "country_group", "breach").alias("stratum"))
+    return sampling.stratified_sample(strata, "stratum", "decision_id", 200)
+
+
 TOLERATED = ("exclusivity_conflict", "decision_date_parse_error", "cross_border_claim_requires_geo_verification",
              "appeal_outcome_present_but_q4_no", "fine_amount_parse_error")
 
