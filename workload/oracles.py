@@ -11,7 +11,7 @@ from caseloom.operators import derived as dv
 from workload.answers import (
     _CODE, ANSWERS, BLANK_44, EXPECTED, EXTRA_69, PADDED_01, REPEAT_40, answers_cte,
 )
-from workload.queries import BUREAU, DECIDED_TEXT, FINE_TEXT, LAND, SPELT, TOLERATED
+from workload.queries import BUREAU, DECIDED_TEXT, FINE_TEXT, LAND, SPELT, TOLERATED, event_answer
 
 ORACLES: dict[str, str] = {}
 
@@ -451,9 +451,10 @@ ORACLES["r1_incremental_parse"] = (
     " CAST(CASE WHEN event_type = 'click' THEN 3 ELSE 4 END AS INTEGER) AS question_count FROM events"
 )
 ORACLES["r2_drop_redelivered"] = "SELECT DISTINCT CAST(user_id AS STRING) || ':' || event_type AS decision_id FROM events"
+_events = " UNION ALL ".join(f"SELECT ts, '{p}' AS field_prefix, '{q}' AS question, {event_answer(q)} AS a FROM events" for q, p in vocab.WIDE_FIELDS)
 ORACLES["r3_running_counts"] = (
-    "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, 'q30_discussed' AS field_prefix,"
-    " CASE event_type WHEN 'error' THEN 'NONE_DISCUSSED' ELSE 'DISCUSSED' END AS status, count(*) AS n FROM events GROUP BY 1, 2, 3"
+    f"WITH e AS ({_events}), t AS (SELECT ts, field_prefix, question, {toks('a')} AS t FROM e)"
+    f" SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, field_prefix, {ms_status('question', 't')} AS status, count(*) AS n FROM t GROUP BY 1, 2, 3"
 )
 
 # --- specified analyses ------------------------------------------------------
@@ -588,6 +589,22 @@ ORACLES["x11_fine_quantiles"] = _FINES + " SELECT size_class, " + ", ".join(
 ) + " FROM fines WHERE fine_eur IS NOT NULL GROUP BY 1"
 
 
+_WIDE = f"w AS ({ORACLES['v1_a8_wide']})"
+ORACLES["x10_authority_frequency"] = f"WITH {_WIDE}" + (
+    " SELECT dpa_name_canonical, decision_year, decision_quarter, CAST(grouping(dpa_name_canonical, decision_year, decision_quarter) AS BIGINT) AS level,"
+    " count(*) AS n FROM w GROUP BY ROLLUP (dpa_name_canonical, decision_year, decision_quarter)"
+)
+# fines of the wide table, before it is rounded
+_SECTOR_FINES = _WIDE_STEPS + f", sf AS (SELECT f_val AS fine_eur, ln(1 + f_val) AS l, isic_section, country_group FROM (SELECT f_val, isic_section, {_gcols} FROM w2 JOIN sec ON sid = w2.id))"
+ORACLES["x11_fine_histogram_by_sector"] = _SECTOR_FINES + (
+    " SELECT isic_section, country_group, CAST(CASE WHEN l < 0 THEN 0 WHEN l >= 24 THEN 13 ELSE floor(l / 2) + 1 END AS BIGINT) AS bucket,"
+    " count(*) AS n, round(min(fine_eur), 4) AS min_fine, round(max(fine_eur), 4) AS max_fine FROM sf WHERE l IS NOT NULL GROUP BY 1, 2, 3"
+)
+ORACLES["x11_fine_quantiles_by_sector"] = _SECTOR_FINES + " SELECT isic_section, " + ", ".join(
+    f"quantile_disc(fine_eur, {p}) AS {n}" for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))
+) + " FROM sf WHERE fine_eur IS NOT NULL GROUP BY 1"
+
+
 def pairs_sql(a: int, b: int) -> str:
     ka, kb = (f"list_distinct({known(f'Q{i}', toks(f'q{i}'))})" for i in (a, b))
     return answers_cte(a, b, extra=f"x AS (SELECT id, unnest({ka}) AS option_a FROM ans), y AS (SELECT id, unnest({kb}) AS option_b FROM ans)") + (
@@ -810,6 +827,7 @@ ORACLES["d4_cited_articles"] = (
     f" 'Article ' || CAST(doc_id % 7 + 1 AS STRING) || '(2)']) AS article {_doc}"
 )
 ORACLES["s6_corpus_files"] = (
-    "SELECT CASE WHEN page_id % 2 = 0 THEN 'authorities' ELSE 'courts' END AS body_type, 'Land ' || CAST(page_id % 7 AS STRING) AS country,"
-    " '# Page ' || CAST(page_id AS STRING) || ' ' || replace(url, chr(10), ' ') AS line FROM pages"
+    "SELECT sha256(body_type || '/' || country || '/' || file_name) AS doc_id, body_type, country, file_name, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest"
+    " FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'authorities' ELSE 'courts' END AS body_type, 'Land ' || CAST(page_id % 7 AS STRING) AS country,"
+    " CAST(page_id AS STRING) || '.md' AS file_name, '# ' || coalesce(url, '') || chr(10) || coalesce(html, '') AS t FROM pages)"
 )

@@ -19,6 +19,7 @@ from caseloom.operators import (
 from caseloom.plans import publish
 from caseloom.plans.run import parse_block_files, read_run, run_all
 from caseloom.sources import blocks, readers, sinks
+from caseloom.sources.ranges import file_system
 from caseloom.sources.shared import fresh_path
 from caseloom.streaming import incremental
 from workload.answers import responses, spread, table
@@ -431,15 +432,25 @@ def r2_drop_redelivered(spark, sf_dir):
     return spark.read.schema(once.schema).parquet(f"{path}/out")
 
 
+def event_answer(q: str) -> str:
+    """SQL: what an event answers to a multi-select question; both engines evaluate it."""
+    first, second = vocab.MULTI_SELECT_OPTIONS[q][:2]
+    return (f"CASE (event_id + {q[1:]}) % 5 WHEN 0 THEN NULL WHEN 1 THEN '{first}' WHEN 2 THEN 'NOT_APPLICABLE'"
+            f" WHEN 3 THEN '{first}, Odd_' || event_type ELSE '{second}' END")
+
+
 @query
 def r3_running_counts(spark, sf_dir):
-    rows = parse.parse_answers(event_responses(event_stream(spark, sf_dir)))
-    q30 = tk.answer_tokens(answers("Q30"))
-    fields = rows.select(
-        "ingestion_timestamp", joined(q30).alias("q30_discussed_known"), F.lit("").alias("q30_discussed_unknown"),
-        tk.multiselect_status("Q30", q30).alias("q30_discussed_status"),
-    )
-    counts = incremental.running_status_counts(fields)
+    """All sixteen multi-select fields of decisions that arrive as events."""
+    lines = [F.concat(F.lit(f"Answer {q[1:]}: "), F.expr(event_answer(q))) for q, _ in vocab.WIDE_FIELDS]
+    arrived = event_stream(spark, sf_dir).select(F.col("ts").alias("ingestion_timestamp"), F.concat_ws("\n", *lines).alias("response"))
+    rows = parse.parse_answers(arrived)
+    cells = []
+    for q, prefix in vocab.WIDE_FIELDS:
+        t = tk.answer_tokens(answers(q))
+        cells += [joined(BOOK.known(q, t)).alias(f"{prefix}_known"), joined(BOOK.unknown(q, t)).alias(f"{prefix}_unknown"),
+                  tk.multiselect_status(q, t).alias(f"{prefix}_status")]
+    counts = incremental.running_status_counts(rows.select("ingestion_timestamp", *cells))
     path = scratch(spark, "stream")
     latest = incremental.upsert_available(counts, ["window", "field_prefix", "status"], "n", f"{path}/out", f"{path}/checkpoint")
     return latest.select(F.col("window.start").cast("date").cast("string").alias("day"), "field_prefix", "status", "n")
@@ -545,6 +556,22 @@ def x10_frequency_rollup(spark, sf_dir):
     return frequency.frequency_rollup(rows)
 
 
+@query
+def x10_authority_frequency(spark, sf_dir):
+    return frequency.frequency_rollup(published(spark, sf_dir).wide, ("dpa_name_canonical", "decision_year", "decision_quarter"))
+
+
+@query
+def x11_fine_histogram_by_sector(spark, sf_dir):
+    h = frequency.fine_histogram(published(spark, sf_dir).wide, ["isic_section", "country_group"])
+    return h.withColumns({c: F.round(c, 4) for c in ("min_fine", "max_fine")})
+
+
+@query
+def x11_fine_quantiles_by_sector(spark, sf_dir):
+    return frequency.fine_quantiles(published(spark, sf_dir).wide, ["isic_section"])
+
+
 def fines(spark, sf_dir) -> DataFrame:
     return parsed(spark, sf_dir).select(
         ty.clean_number(answers("Q37"))["value"].alias("fine_eur"),
@@ -867,17 +894,29 @@ def d4_cited_articles(spark, sf_dir):
     return corpus.cited_articles(corpus.header_fields(corpus.drop_non_decisions(markdown(spark, sf_dir))), "doc_id")
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """One file per row ``(path, text)`` below ``root``; a task that runs again writes the same file."""
+    def write(batches):
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"]):
+                system, place = file_system(f"{root}/{path}")
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as f:
+                    f.write(text.encode())
+            yield pdf[["path"]]
+
+    rows.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 @query
 def s6_corpus_files(spark, sf_dir):
-    """Pages laid out as ``<type>/<country>/<file>.md`` and scanned as a corpus."""
-    path = scratch(spark, "corpus")
-    pages = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("# Page "), F.col("page_id").cast("string"), F.lit(" "), F.replace(F.col("url"), F.lit("\n"), F.lit(" "))).alias("value"),
-        F.when(F.col("page_id") % 2 == 0, "authorities").otherwise("courts").alias("body"),
-        F.concat(F.lit("Land "), (F.col("page_id") % 7).cast("string")).alias("land"),
+    """Every page as a Markdown file ``<type>/<country>/<id>.md``, scanned as a corpus."""
+    root = scratch(spark, "corpus")
+    body = F.when(F.col("page_id") % 2 == 0, "authorities").otherwise("courts")
+    pages = spread(table(spark, sf_dir, "pages")).select(
+        F.concat(body, F.lit("/Land "), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# "), F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))).alias("text"),
     )
-    pages.write.partitionBy("body", "land").text(path)
-    # text files carry a .txt suffix here; the corpus reader is given the pattern
-    found = readers.read_corpus(spark, path, pattern="*.txt")
-    lines = found.select("doc_id", "body_type", "country", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
-    return lines.select(F.substring_index("body_type", "=", -1).alias("body_type"), F.url_decode(F.substring_index("country", "=", -1)).alias("country"), "line")
+    write_files(pages, root)
+    return readers.read_corpus(spark, root).select(
+        "doc_id", "body_type", "country", "file_name", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
