@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from caseloom import vocab
 from caseloom.operators import derived as dv
+from caseloom.operators.wide import WIDE_COLUMNS
 from workload.answers import (
     _CODE, ANSWERS, BLANK_44, EXPECTED, EXTRA_69, PADDED_01, REPEAT_40, answers_cte,
 )
@@ -773,10 +774,29 @@ ORACLES["s4_codebook_in_force"] = answers_cte(*_OQ, extra=long_answers(_OQ) + (
     " SELECT e.ver AS codebook_version, e.question, count(*) AS n_tokens, count(b.token) AS n_known FROM e"
     " LEFT JOIN book b ON b.ver = e.ver AND b.question = e.question AND b.token = e.token GROUP BY 1, 2"
 )
-_prof = ["ID", "q1", "q3", "q5", "q12", "q16", "q37", "q62"]
-ORACLES["x21_column_profile"] = answers_cte(1, 3, 5, 12, 16, 37, 62) + ", u AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, nullif({c}, '') AS v FROM ans" for c in _prof
-) + ") SELECT column_name, count(*) AS total_rows, count(v) AS filled_rows, min(v) AS min_value, max(v) AS max_value FROM u GROUP BY 1"
+def profile_sql(table: str, columns: list[str], nested: tuple[str, ...] = ()) -> str:
+    def one(c: str) -> str:
+        real = f"(typeof({c}) IN ('DOUBLE', 'FLOAT') OR typeof({c}) LIKE 'DECIMAL%')"
+        text = "CAST(NULL AS VARCHAR)" if c in nested else f"CASE WHEN NOT {real} THEN nullif(CAST({c} AS VARCHAR), '') END"
+        number = f"CASE WHEN {real} OR typeof({c}) IN ('INTEGER', 'BIGINT', 'HUGEINT') THEN try_cast(CAST({c} AS VARCHAR) AS DOUBLE) END"
+        filled = "count(*)" if c in nested else f"count(nullif(CAST({c} AS VARCHAR), ''))"
+        return (f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS total_rows, {filled} AS filled_rows, min({text}) AS min_text,"
+                f" max({text}) AS max_text, round(min({number}), 3) AS min_number, round(max({number}), 3) AS max_number FROM {table}_t")
+
+    return " UNION ALL ".join(one(c) for c in columns)
+
+
+ORACLES["x21_column_profile"] = (
+    f"WITH wide_t AS MATERIALIZED ({ORACLES['v1_a8_wide']}), long_t AS MATERIALIZED ({ORACLES['v2_a9_a11_long']}),"
+    f" validation_t AS MATERIALIZED ({ORACLES['b5_validation']}), consistency_t AS MATERIALIZED ({ORACLES['v3_b4_consistency']}),"
+    f" qa_t AS MATERIALIZED (SELECT *, statuses AS status_counts, top_unknown AS top_unknown_tokens FROM ({ORACLES['v4_g1_g4_qa_summary']})) "
+    + " UNION ALL ".join([
+        profile_sql("wide", list(WIDE_COLUMNS)), profile_sql("long", ["decision_id", "option", "status", "token_status", "role"]),
+        profile_sql("validation", ["decision_id", "flags"], ("flags",)), profile_sql("consistency", ["decision_id", "flags"], ("flags",)),
+        profile_sql("qa", ["field_prefix", "total_rows", "rows_with_known", "rows_with_unknown", "total_unknown_tokens", "status_counts", "top_unknown_tokens"],
+                    ("status_counts", "top_unknown_tokens")),
+    ])
+)
 ORACLES["x22_harmonized_tokens"] = answers_cte(*_OQ, extra=long_answers(_OQ) + (
     f", t AS (SELECT question, {toks('a')} AS ts FROM u), e AS (SELECT question, unnest(ts) AS v, unnest(range(len(ts))) AS i FROM t),"
     " r AS (SELECT question, CASE WHEN i % 2 = 1 THEN lower(replace(v, '_', '-')) ELSE v END AS raw_token FROM e),"
