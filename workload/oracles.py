@@ -693,8 +693,9 @@ _CASES = _EDGES + (
     f", cases AS MATERIALIZED (SELECT DISTINCT dst AS decision, src AS party FROM edges WHERE rel IN ({names(_roles3.values())})),"
     " ties AS MATERIALIZED (SELECT * FROM cases UNION SELECT src, dst FROM edges WHERE rel = 'involves' AND src IN (SELECT decision FROM cases))"
 )
-# Labels fall to the least label of a neighbour, round after round; each round then takes the label of the label.
-_ROUNDS = 10
+# Labels fall to the least label of a neighbour, round after round; each round then takes the label of the label. After 16 rounds
+# none changes any more at the smallest tables, after 4 at those ten times larger.
+_ROUNDS = 40
 _labels = ", l0 AS MATERIALIZED (SELECT DISTINCT decision AS node, decision AS label FROM ties UNION SELECT DISTINCT party, party FROM ties)"
 for _i in range(_ROUNDS):
     _labels += (
