@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -63,31 +64,34 @@ def sanitize_number(c: Column) -> Column:
     return F.regexp_replace(joined, "\\.(?=.*\\.)", "")
 
 
+def once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(c)`` with ``c`` evaluated once per row, however often ``then`` names it."""
+    return F.transform(F.array(c), then)[0]
+
+
 def clean_number(c: Column) -> Column:
-    """``struct<raw, value double, status, valid, error>``."""
-    raw = blank_to_empty(c)
-    text = sanitize_number(raw)
+    """``struct<raw, value double, status, valid, error>``; each text is read once."""
+    return once(blank_to_empty(c), lambda raw: once(sanitize_number(raw), lambda text: _typed_number(raw, text)))
+
+
+def _typed_number(raw: Column, text: Column) -> Column:
     number = text.try_cast("double")
-    is_status = raw.isin(*vocab.NUMBER_STATUS_TOKENS)
     status = (
         F.when(raw == "", "NOT_MENTIONED")
-        .when(is_status, raw)
+        .when(raw.isin(*vocab.NUMBER_STATUS_TOKENS), raw)
         .when(number.isNull(), "PARSE_ERROR")
         .when(number < 0, "NEGATIVE_VALUE")
         .otherwise("DISCUSSED")
     )
-    error = (
-        F.when((status == "PARSE_ERROR") & (text == ""), "sanitized_numeric_string_empty")
-        .when(status == "PARSE_ERROR", "invalid_number")
-        .when(status == "NEGATIVE_VALUE", "value_lt_zero")
-    )
-    return F.struct(
+    return once(status, lambda state: F.struct(
         raw.alias("raw"),
-        F.when(status == "DISCUSSED", number).alias("value"),
-        status.alias("status"),
-        (~status.isin("PARSE_ERROR", "NEGATIVE_VALUE")).alias("valid"),
-        error.alias("error"),
-    )
+        F.when(state == "DISCUSSED", number).alias("value"),
+        state.alias("status"),
+        (~state.isin("PARSE_ERROR", "NEGATIVE_VALUE")).alias("valid"),
+        F.when((state == "PARSE_ERROR") & (text == ""), "sanitized_numeric_string_empty")
+        .when(state == "PARSE_ERROR", "invalid_number")
+        .when(state == "NEGATIVE_VALUE", "value_lt_zero").alias("error"),
+    ))
 
 
 def strict_money(c: Column) -> Column:

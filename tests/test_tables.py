@@ -31,6 +31,14 @@ def test_filters_do_not_repeat_the_parsing(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(") == 2
 
 
+def test_numbers_and_rules_are_evaluated_once(spark, tmp_path):
+    parsed(spark, {37: "0"}).write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    for report in (check_consistency(rows), validate(rows), derived.conflict_matrix(derived.all_flags(rows))):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_replace(") == 4  # two for each of the two numbers
+
+
 def test_missing_answers_in_rules(spark):
     assert flags(spark, {27: "YES_REQUIRED"}) == ["q27_yes_required_but_q16_not_yes"]
     assert flags(spark, {60: "YES_REQUIRED_NOT_APPOINTED"}) == ["q60_required_not_appointed_but_q61_missing_no_dpo"]
