@@ -10,12 +10,21 @@ from caseloom.functions.tokens import answer_tokens
 
 def question_tokens(parsed: DataFrame, questions: list[str], id_col: str = "ID") -> DataFrame:
     """``(decision_id, question, position, token)`` for the given questions."""
-    answers = F.array(*[F.struct(F.lit(q).alias("question"), F.col("answers")[q].alias("a")) for q in questions])
-    return (
-        parsed.select(F.col(id_col).alias("decision_id"), F.explode(answers).alias("x"))
-        .filter(F.col("x.a").isNotNull())
-        .select("decision_id", "x.question", F.posexplode(answer_tokens(F.col("x.a"))).alias("position", "token"))
-    )
+    # the map is walked once; looking up each question would walk it once per question
+    said = parsed.select(F.col(id_col).alias("decision_id"), F.explode("answers").alias("question", "_a")).filter(
+        F.col("question").isin(questions) & F.col("_a").isNotNull())
+    return said.select("decision_id", "question", F.posexplode(answer_tokens(F.col("_a"))).alias("position", "token"))
+
+
+def token_totals(parsed: DataFrame, questions: list[str]) -> DataFrame:
+    """``(question, token, n)`` over all decisions.
+
+    Equal answers are counted before they are split, so tokens are cut once per
+    distinct answer and not once per decision.
+    """
+    said = parsed.select(F.explode("answers").alias("question", "a")).filter(F.col("question").isin(questions) & F.col("a").isNotNull())
+    distinct = said.groupBy("question", "a").agg(F.count("*").alias("_n"))
+    return distinct.select("question", F.explode(answer_tokens(F.col("a"))).alias("token"), "_n").groupBy("question", "token").agg(F.sum("_n").alias("n"))
 
 
 def validate_tokens_long(tokens: DataFrame, codebook: DataFrame) -> DataFrame:

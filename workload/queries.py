@@ -269,7 +269,7 @@ def token_counts(rows: DataFrame, *columns: str) -> DataFrame:
 @query
 def j1_validate_tokens(spark, sf_dir):
     """All questions with options."""
-    rows = token_counts(tokens.question_tokens(parsed(spark, sf_dir), OPTION_QUESTIONS), "question", "token")
+    rows = tokens.token_totals(parsed(spark, sf_dir), OPTION_QUESTIONS)
     return tokens.validate_tokens_long(rows, BOOK.to_frame(spark)).select("question", "token", "token_status", "n")
 
 
