@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.common import land, table
 from caseloom.llm.tokens import Encoder, vocabulary_path
+from caseloom.llm.tokens import byte_alphabet as _byte_level
 
 PIECES = "piece_bpe_32k.model"
 #: Text bytes whose pairs are counted together, and characters encoded and aligned together.
@@ -53,13 +54,6 @@ STRIDE = 16
 _SPACE = re.compile(r"(?<=[^ ]) (?=[^ ])")
 
 
-def _byte_level() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin bytes stand for themselves, the others for code points from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteLevel:
     """Ids and bytes of the byte-level vocabulary; the text is encoded after a space."""
 

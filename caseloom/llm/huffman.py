@@ -168,17 +168,30 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
+#: Ids counted in one step.
+COUNT_IDS = 1 << 20
+
+
 def id_counts(coded: DataFrame, width: str) -> np.ndarray:
     """Global counts of ids; what reaches the driver is bounded by the vocabulary."""
 
     def count(batches):
-        sums = np.zeros(1, np.int64)
+        sums, held, n = np.zeros(1, np.int64), [], 0
+
+        def add():
+            nonlocal sums, held, n
+            if held:
+                got = np.bincount(np.concatenate(held), minlength=len(sums))
+                got[: len(sums)] += sums
+                sums, held, n = got, [], 0
+
         for batch in batches:
             for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), width))
-                if len(got) > len(sums):
-                    sums = np.concatenate([sums, np.zeros(len(got) - len(sums), np.int64)])
-                sums[: len(got)] += got
+                held.append(np.frombuffer(ids.as_buffer(), width))
+                n += len(held[-1])
+                if n >= COUNT_IDS:
+                    add()
+        add()
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
 

@@ -234,3 +234,23 @@ def test_long_texts_are_cut_where_no_token_goes_on(monkeypatch):
 def test_galloping_finds_ranks(a, b):
     a, b = np.unique(np.array(a, np.int64)), np.unique(np.array(b, np.int64))
     assert (alignment.gallop(a, b) == np.searchsorted(b, a)).all()
+
+
+def test_encoder_equals_plain_calls_on_odd_white_space_and_letters():
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from caseloom.llm import tokens
+
+    path = tokens.vocabulary_path()
+    library = Tokenizer.from_file(path)
+    random.seed(7)
+    letters = list("ab' \n\t\r,.<|>1²½éß×÷ɏɐ日\u0085 　​́\x1c\x00ªsl\U0001f642")
+    texts = ["".join(random.choices(letters, k=random.randint(0, 30))) for _ in range(3000)]
+    texts += ["", " ", "\n", "x" * 500 + " " + "y" * 60 + " z", "it's we'll I'd<|endoftext|> a", "It's 'tis can't 12²a"] * 2
+    coder = tokens.Encoder(path)
+    coder.remembered = 50
+    for some in (texts[:1000], texts[1000:], texts[::-1]):
+        assert coder.encode(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
