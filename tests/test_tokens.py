@@ -96,3 +96,19 @@ def test_python_equivalence(spark, texts):
         for z in "\u200b\u200c\u200d\ufeff":
             plain = plain.replace(z, "")
         assert r.n == " ".join(plain.split())
+
+
+def test_answer_columns_are_the_answers(spark):
+    rows = parsed(spark, {"Q1": "a", "Q3": ""}, {"Q2": "b"}, {})
+    got = tk.answer_columns(rows, {"one": "Q1", "two": "Q2", "three": "Q3", "again": "Q1"}, "ID")
+    assert got.columns == ["ID", "one", "two", "three", "again"]
+    assert [tuple(r) for r in got.orderBy("ID").collect()] == [("D0", "a", None, "", "a"), ("D1", None, "b", None, None), ("D2", None, None, None, None)]
+
+
+def test_lookups_are_a_loop(spark):
+    """Written out, each lookup adds to one generated method, which is then never compiled."""
+    rows = parsed(spark, {"Q1": "a"})
+    few, many = ([f"Q{i}" for i in range(1, n)] for n in (5, 65))
+    size = lambda qs: rows.select(tk.answer_list(F.col("answers"), qs).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("answers#")
+    assert size(few) == size(many)
+    assert [(x.question, x.answer) for x in rows.select(tk.answer_list(F.col("answers"), ["Q2", "Q1"]).alias("x")).first().x] == [("Q2", None), ("Q1", "a")]
