@@ -68,3 +68,19 @@ def test_samples_are_exact_and_nested(spark):
     plan = sampling.stratified_sample(df, "s", "key", 50)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # each task cuts its rows before the shuffle
     assert math.isclose(sum(r["take"] for r in sampling.allocate(df.groupBy(df.s.alias("stratum")).count().withColumnRenamed("count", "n"), 7).collect()), 7)
+
+
+def test_a_vector_leaves_python_once_for_all_its_lists(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(50)], "id long, v array<double>")
+    centroids = np.eye(3)
+    filed = neighbours._nearest_lists(rows, centroids, 2)
+    plan = filed._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(lists" in plan and "MapInPandas" in plan
+    got = {}
+    for r in filed.collect():
+        got.setdefault(r.id, []).append(r.list)
+    want = {}
+    for r in rows.collect():
+        score = centroids @ np.array(r.v)
+        want[r.id] = sorted(np.argsort(-score, kind="stable")[:2].tolist())
+    assert {i: sorted(x) for i, x in got.items()} == want
