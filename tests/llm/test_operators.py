@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from caseloom.llm import copies, decontaminate, huffman, language, packing, pii, quality, simhash, tokens, toxicity, urlfilter, warc
@@ -186,6 +187,17 @@ def test_near_copies_by_exact_similarity(spark, chunk):
     assert sorted(x["doc_id"] for x in copies.keep_first_copy(df, chunk=chunk).collect()) == sorted(set(root))
 
 
+def test_proposed_pairs_are_told_by_their_sets_alone():
+    def block(texts):
+        sketch = [0, -1]  # all 128 bits apart
+        yield pd.DataFrame({"node": [1, 2], "s0": sketch, "s1": sketch, "side": [0, 0], "text": texts, "block": [7, 7]})
+
+    words = [f"w{k}" for k in range(100)]
+    near, far = " ".join(words[:-5]), " ".join(words[:-30])
+    assert [p.to_numpy().tolist() for p in copies._verify(block([" ".join(words), near]))] == [[[1, 2]]]
+    assert not list(copies._verify(block([" ".join(words), far])))
+
+
 def test_link_forest_against_plain_search():
     r = np.random.default_rng(3)
     for n in (1, 5, 40):
