@@ -61,6 +61,26 @@ def test_line_count_is_splitlines(spark):
     assert got == [len(t.splitlines()) for t in texts]
 
 
+def test_lines_cut_at_their_colon_are_those_of_the_pattern(spark):
+    """Plain texts leave by Arrow kernels, any other by the pattern; both in one batch, the plan without a regex."""
+    plain = ["Answer 3: c\nno answer\nAnswer 1:\u3000a: b \r\nAnswer 070: z\u200b", "Answer 2:x\nAnswer 20: \u200b"]
+    odd = ["Answer 1: a\nAnswer 2: b\nAnswer 1: c", "Answer  1: a\nAnswer 2:\nAnswer 3: d", "Answer 5\nAnswer x: y\nAnswer \u0661: q",
+           "Answer\n7: g\nAnswered: no\nAnswer: no\nAnswer +1: no", "", None]
+    got = [r.answers for r in parse(spark, *plain, *odd)]
+    assert got == [dict(pairs) for pairs in (
+        [("Q3", "c"), ("Q1", "a: b"), ("Q070", "z")], [("Q2", "x"), ("Q20", "")],
+        [("Q2", "b"), ("Q1", "c")], [("Q1", "a"), ("Q2", "Answer 3: d")], [("Q\u0661", "q")], [("Q7", "g")], [], [])]
+    df = spark.createDataFrame([("1", FULL)], "ID string, response string")
+    assert "regexp" not in parse_answers(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_count_of_neighbours(spark):
+    texts = ["\r", "\na", "\u00a8\u2028", "\u0085", "\u20a8 \u0405\u0165", "", "\x1d\r\n", "\n\r\n\r", "\u2029\u00a9x"]
+    df = spark.createDataFrame([(f"{i:02d}", t) for i, t in enumerate(texts)], "ID string, response string").coalesce(1)
+    got = [r.metadata.line_count for r in parse_answers(df).orderBy("ID").collect()]
+    assert got == [len(t.splitlines()) for t in texts]
+
+
 def test_segments(spark):
     text = (
         "junk\nAnswer 1: a\nAnswer 11: b\n\"Answer 1: c\nAnswer 2: d\"\nAnswer  1: dropped\nAnswer 2: gone\nAnswer 1:e\n"
