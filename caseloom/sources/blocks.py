@@ -1,9 +1,11 @@
 """Concatenated answer blocks as a splittable data source.
 
 ``spark.read.format("answer_blocks").option("rangeBytes", n).load(path)`` after
-:func:`register`.  Files are cut in byte ranges, one partition each; a partition
+:func:`register`.  Files are cut in byte ranges; a range
 owns the blocks whose ``Answer 1:`` line starts inside its range, so a file of
-any size is read by as many tasks as it has ranges and no block is read twice.
+any size is read by many tasks and no block is read twice.  Short ranges that
+follow each other are read by one task in one go, so the number of tasks grows
+with the bytes and not with the number of ranges.
 """
 
 from __future__ import annotations
@@ -24,9 +26,13 @@ SCHEMA = "source string, range_start long, position long, value string"
 _START = re.compile(rb'^"?Answer 1:', re.M)
 #: Characters per batch sent to the JVM.
 BATCH_CHARS = 8 << 20
+#: Ranges are read together in tasks of up to so many bytes, where that leaves about so many tasks.
+TASK_BYTES, TASKS = 8 << 20, 64
 
 
-class Range(InputPartition):
+class Ranges(InputPartition):
+    """Ranges of a file that follow each other."""
+
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
 
@@ -36,28 +42,32 @@ class BlockReader(DataSourceReader):
         self.path = options["path"]
         self.range_bytes = int(options.get("rangebytes", ranges.RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
-        return [Range(*r) for r in ranges.cut(self.path, self.range_bytes)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        cuts = ranges.cut_together(self.path, self.range_bytes, TASK_BYTES, TASKS)
+        return [Ranges(*r) for r in cuts] or [Ranges("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        texts, size, position = [], 0, 0
-        for _, data in ranges.line_records(partition.path, partition.start, partition.end, _START):
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        rows, size, owner, position = [], 0, partition.start, 0
+        for at, data in ranges.line_records(partition.path, partition.start, partition.end, _START):
+            begin = at - at % self.range_bytes
+            if begin != owner:
+                owner, position = begin, 0
             text = data.decode(errors="replace")
             # only what precedes the first block of a file can fail to be one
             if text.lstrip().startswith(("Answer 1:", '"Answer 1:')):
-                texts.append(text)
-                size += len(text)
+                rows.append((owner, position, text))
+                size, position = size + len(text), position + 1
             if size >= BATCH_CHARS:
-                yield self._batch(partition, position, texts)
-                texts, size, position = [], 0, position + len(texts)
-        yield self._batch(partition, position, texts)
+                yield self._batch(partition, rows)
+                rows, size = [], 0
+        yield self._batch(partition, rows)
 
     @staticmethod
-    def _batch(partition: Range, position: int, texts: list[str]) -> pa.RecordBatch:
-        n = len(texts)
+    def _batch(partition: Ranges, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        starts, positions, texts = zip(*rows) if rows else ([], [], [])
         return pa.RecordBatch.from_arrays(
-            [pa.array([partition.path] * n, pa.string()), pa.array([partition.start] * n, pa.int64()),
-             pa.array(range(position, position + n), pa.int64()), pa.array(texts, pa.string())],
+            [pa.array([partition.path] * len(rows), pa.string()), pa.array(starts, pa.int64()),
+             pa.array(positions, pa.int64()), pa.array(texts, pa.string())],
             ["source", "range_start", "position", "value"],
         )
 

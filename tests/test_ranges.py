@@ -110,3 +110,18 @@ def test_headers_by_name_and_files_without_rows(spark, tmp_path):
     (tmp_path / "c.csv").write_text("ID,response\n")
     (tmp_path / "d.csv").write_text("")
     assert sorted(map(tuple, readers.read_master_csv(spark, str(tmp_path)).collect())) == [("1", "x"), ("2", "y")]
+
+
+def test_short_ranges_are_read_together(spark, tmp_path):
+    """Tasks grow with the bytes, not with the ranges; each block keeps the range and the place it had."""
+    file = tmp_path / "blocks.txt"
+    file.write_text("loose\n" + "".join(f"Answer 1: v{i}\nAnswer 2: {'y' * (i * 37 % 400)}\n" for i in range(20_000)))
+    size = file.stat().st_size
+    rows = readers.read_answer_blocks(spark, str(file), 1000)
+    assert size // 1000 > 2000 and blocks.TASKS <= rows.rdd.getNumPartitions() <= 2 * blocks.TASKS
+    apart = []
+    for path, start, end in ranges.cut(str(file), 1000):
+        texts = [d.decode() for _, d in ranges.line_records(path, start, end, blocks._START) if d.startswith(b"Answer 1:")]
+        apart += [(start, n, t) for n, t in enumerate(texts)]
+    assert sorted((r.range_start, r.position, r.value) for r in rows.collect()) == apart
+    assert len(ranges.cut_together(str(file), 1000, 50_000, 1)) == -(-size // 50_000)
