@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,7 +33,7 @@ from pyspark.sql import types as T
 
 from caseloom.llm.common import fresh_path, land, table, total
 from caseloom.llm.files import open_new, read_range
-from caseloom.llm.tokens import encode_slices, vocabulary_path
+from caseloom.llm.tokens import encode_slices, forget, vocabulary_path
 
 MAGIC = b"CLHUF001"
 MAX_BITS = 18
@@ -153,12 +152,13 @@ def encode_documents(documents: DataFrame, id_col: str, text_col: str, end_id: i
     """(doc_id, ids) with ids as bytes, two of them per id where the vocabulary allows; landed."""
     width = "<u2" if end_id < 1 << 16 and vocabulary_size(path) <= 1 << 16 else "<u4"
 
-    @F.pandas_udf(T.BinaryType())
-    def encode(texts: pd.Series) -> pd.Series:
-        end = np.array([end_id], "<u4").tobytes()
-        return pd.Series([np.frombuffer(ids + end, "<u4").astype(width).tobytes() for ids in encode_slices(texts, path)])
+    # an Arrow function, so that no more texts than a slice are Python strings at a time
+    def encode(texts: pa.Array) -> pa.Array:
+        end, plain = np.array([end_id], "<u4").tobytes(), (t.as_py() for t in texts)
+        return pa.array((np.frombuffer(ids + end, "<u4").astype(width).tobytes() for ids in encode_slices(plain, path)), pa.binary())
 
-    coded = documents.select(F.col(id_col).alias("doc_id"), encode(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    encoded = F.arrow_udf(encode, T.BinaryType())
+    coded = documents.select(F.col(id_col).alias("doc_id"), encoded(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
     return land(coded, "ids"), width
 
 
@@ -176,6 +176,7 @@ def id_counts(coded: DataFrame, width: str) -> np.ndarray:
     """Global counts of ids; what reaches the driver is bounded by the vocabulary."""
 
     def count(batches):
+        forget()
         sums, held, n = np.zeros(1, np.int64), [], 0
 
         def add():
@@ -209,6 +210,7 @@ def write_files(coded: DataFrame, width: str, lengths: np.ndarray, folder: str,
     sent = spark.sparkContext.broadcast(lengths)  # at most a byte per id of the vocabulary
 
     def write(batches) -> Iterator[pa.RecordBatch]:
+        forget()
         sizes = sent.value
         codes, part = canonical_codes(sizes), TaskContext.get().partitionId()
         stream, uri, at, frames, done = None, None, 0, [], 0
@@ -259,6 +261,7 @@ def read_files(manifest: DataFrame, id_type: T.DataType) -> DataFrame:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
 
     def read(batches) -> Iterator[pa.RecordBatch]:
+        forget()
         known: tuple[str, tuple] | None = None
         for batch in batches:
             for row in batch.to_pylist():

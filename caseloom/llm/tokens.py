@@ -82,6 +82,7 @@ class Pieces(dict):
 
     def age(self) -> None:
         if len(self) > REMEMBERED_PIECES:
+            self.old = {}  # let go of the oldest before the others are copied
             self.old = dict(self)
             self.clear()
 
@@ -194,6 +195,11 @@ def encoder(path: str | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free what this worker remembers; for later stages, whose tasks run in the same workers and encode nothing."""
+    _ENCODERS.clear()
+
+
 def encode_slices(texts, path: str | None = None, remembered: int = REMEMBERED, chars: int = 1 << 21):
     """Ids of the texts in order, about two million characters at a time."""
     coder, held, size = encoder(path), [], 0

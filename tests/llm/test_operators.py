@@ -319,6 +319,14 @@ def test_token_ids_equal_the_plain_call():
     assert list(tokens.encode_slices(texts)) == want
 
 
+def test_workers_forget_the_words_once_all_is_encoded():
+    """Later stages run in the workers that encoded, and need their memory; what comes after is encoded as before."""
+    first = list(tokens.encode_slices(["some words here", "some more"]))
+    assert tokens._ENCODERS
+    tokens.forget()
+    assert not tokens._ENCODERS and list(tokens.encode_slices(["some words here", "some more"])) == first
+
+
 def test_code_lengths_are_optimal_and_bounded():
     import heapq
 
