@@ -187,6 +187,28 @@ def test_near_copies_by_exact_similarity(spark, chunk):
     assert sorted(x["doc_id"] for x in copies.keep_first_copy(df, chunk=chunk).collect()) == sorted(set(root))
 
 
+def test_far_sketches_refuse_no_pair(spark):
+    rows = [(1, 0, 0, 40, [1, 2, 3, 4, 5]), (2, -1, -1, 40, [1, 2, 3, 4, 6]), (3, 0, 0, 40, [11, 12, 13]), (4, -1, -1, 40, [11, 12, 13]),
+            (5, 0, 0, 2, [21, 22]), (6, -1, -1, 2, [21, 22]), (7, 0, 0, 40, [31, 32, 33, 34]), (8, -1, -1, 60, [31, 32, 33, 34]), (9, 0, 0, 40, [41]), (10, 0, 1, 40, [41])]
+    rows += [(20 + i, -(i % 2), -(i % 2), 40, [51, 52, 53, 54]) for i in range(12)]  # more than are compared step by step
+    distinct = spark.createDataFrame(rows, "node long, s0 long, s1 long, n int, prefix array<long>")
+    found = {(r.a, r.b) for r in copies.proposals(distinct).collect()}
+    assert {p for p in found if p[0] < 20} == {(1, 2), (5, 6), (9, 10)}
+    roots = {r.node: r.root for r in connected_components(spark.createDataFrame(sorted(found), "a long, b long")).collect()}
+    assert {roots[20 + i] for i in range(12)} == {20}
+
+
+def test_similar_sets_share_what_their_prefixes_need():
+    rng, none = np.random.default_rng(8), np.zeros(0, np.uint64)
+    for _ in range(400):
+        size = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 60, int(rng.integers(0, 4))).astype(np.uint64)]))
+        if len(b) and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            shared = np.intersect1d(copies.prefix(a, none, none), copies.prefix(b, none, none))
+            assert len(shared) >= min(copies.needed(len(a)), copies.needed(len(b)))
+
+
 def test_proposed_pairs_are_told_by_their_sets_alone():
     def block(texts):
         sketch = [0, -1]  # all 128 bits apart
