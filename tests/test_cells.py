@@ -7,6 +7,7 @@ from caseloom.codebook import Codebook
 from caseloom.operators.long import emit_long, long_cells
 from caseloom.operators.wide import multiselect_fields
 from caseloom.sources import sinks
+from workload import queries
 
 ANSWERS = ["", ",", "SECURITY, ODD , SECURITY", "MULTI_SELECT:X", "TYPE:STRING,ODD", "NOT_APPLICABLE,NOT_APPLICABLE", "NONE_MENTIONED, SECURITY",
            "NONE_DISCUSSED", "NOT_DETERMINED,SECURITY", "a:b, ACCURACY ", None]
@@ -68,3 +69,12 @@ def test_cells_are_written_as_rows(spark, tmp_path):
     columns = ["decision_id", "role", "option", "status", "token_status"]
     back = spark.read.parquet(str(tmp_path / "long")).select(*columns)
     assert sorted(map(str, back.collect())) == sorted(map(str, emit_long(answered(spark)).select(*columns).collect()))
+
+
+def test_master_file_is_written_where_its_texts_are_made(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"D{i}", f"Answer 1: a,{i}\nAnswer 2: \"b\"") for i in range(60)], "ID string, response string").repartition(6)
+    monkeypatch.setattr(queries, "responses", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: str(tmp_path / name))
+    found = queries.s1_master_csv(spark, "")
+    assert len(list((tmp_path / "master").glob("*.csv"))) == 6  # no shuffle of the texts before
+    assert sorted((r.ID, r.Q1) for r in found.select("ID", "Q1").collect()) == sorted((f"D{i}", f"a,{i}") for i in range(60))
